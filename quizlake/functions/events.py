@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quizlake.functions.text import trim_web
 
@@ -42,6 +43,13 @@ DECODER_NOISE = (
 # -----------------------------------------------------------------------------------
 
 
+def micros(df: DataFrame, ts: str) -> Column:
+    """Microseconds since 1970 of an instant, or of the wall clock of a zoneless time."""
+    if isinstance(df.schema[ts].dataType, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), F.col(ts))
+    return F.unix_micros(F.col(ts))
+
+
 def _contains_any(text: Column, needles: tuple[str, ...]) -> Column:
     found = F.lit(False)
     for needle in needles:

@@ -69,13 +69,15 @@ def all_batches(questions: DataFrame, size: int = BATCH_DEFAULT) -> DataFrame:
 def requests(batches: DataFrame) -> DataFrame:
     """One JSON request per batch: [{id, stem, options}] in call order."""
     rows = F.array_sort(
-        F.collect_list(F.struct("call_pos", F.struct("id", "stem", "options").alias("q")))
+        F.collect_list(F.struct("call_pos", F.to_json(F.struct("id", "stem", "options")).alias("q")))
     )
     return (
         batches.filter(F.col("call_pos").isNotNull())
         .groupBy(*BATCH)
         .agg(F.count(F.lit(1)).alias("n"), rows.alias("_rows"))
-        .select(*BATCH, "n", F.to_json(F.transform("_rows", lambda r: r["q"])).alias("request"))
+        .select(*BATCH, "n", F.concat(
+            F.lit("["), F.array_join(F.transform("_rows", lambda r: r["q"]), ","), F.lit("]")
+        ).alias("request"))
     )
 
 

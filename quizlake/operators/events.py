@@ -51,7 +51,7 @@ def phase_counts(logs: DataFrame) -> DataFrame:
 
 def throttled(logs: DataFrame, millis: int = PROGRESS_MILLIS) -> DataFrame:
     """Latest event per job and time bucket; combines map-side."""
-    bucket = F.floor(F.unix_micros("ts") / (millis * 1000))
+    bucket = F.floor(ev.micros(logs, "ts") / (millis * 1000))
     return (
         logs.groupBy("job_id", bucket.alias("bucket"))
         .agg(

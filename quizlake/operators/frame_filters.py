@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizlake.functions import frames as ff
+from quizlake.functions.events import micros
 from quizlake.operators.ranking import ordinal, span, top_n
 from quizlake.session import cut
 
@@ -227,7 +228,7 @@ def accepted_manifest(decisions: DataFrame) -> DataFrame:
 
 def sample_interval(events: DataFrame, seconds: float, keys: list[str], ts: str, order: str) -> DataFrame:
     """First row per key and time bucket."""
-    bucket = F.floor(F.unix_micros(F.col(ts)) / F.lit(int(seconds * 1_000_000)))
+    bucket = F.floor(micros(events, ts) / F.lit(int(seconds * 1_000_000)))
     first = F.struct(ts, order)
     return (
         events.withColumn("bucket", bucket)
