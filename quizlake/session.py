@@ -14,6 +14,8 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8) -> SparkSe
         .appName("quizlake")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # Text work is heavy per byte: do not fold small inputs into one task.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "20g")
         .config("spark.ui.enabled", "false")
@@ -46,3 +48,9 @@ def cut(df: DataFrame) -> DataFrame:
     executors) restart from files instead of from the whole lineage."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash partitioning that adaptive execution keeps: for stages that are expensive per
+    row, where the byte size says nothing about the work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
