@@ -160,7 +160,7 @@ def updated_cache(cache: DataFrame, batches: DataFrame, replies: DataFrame, cach
         "content_hash",
         F.coalesce("_s", "stem").alias("stem"),
         F.coalesce("_o", "options").alias("options"),
-        F.struct(F.lit(1).alias("run"), F.col("job_id").cast("string"), "q_idx").alias("_v"),
+        F.struct(F.lit(1).alias("run"), F.col("job_id").cast("string").alias("job_id"), "q_idx").alias("_v"),
     )
     old = cache.select(
         "content_hash",
