@@ -26,8 +26,9 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
 
 
 def plain_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbered drafts without repair and dedupe."""
-    return questions.numbered(questions.drafts(v.mcq_frames(spark, sf_dir), repair=False))
+    """Numbered drafts without repair and dedupe. Numbering reads its input twice, so the
+    drafts are stored first."""
+    return questions.numbered(cut(questions.drafts(v.mcq_frames(spark, sf_dir), repair=False)))
 
 
 def flat(df: DataFrame) -> DataFrame:
