@@ -6,8 +6,9 @@ recursive queries, question blocks are window queries.
 
 from __future__ import annotations
 
+import re
+
 from quizlake.functions import text as tx
-from quizlake.operators.events import PROGRESS_MILLIS  # noqa: F401  (documented default)
 from quizlake.plans.views import VIEW_SQL
 
 # RE2 has no vertical tab in \s.
@@ -184,8 +185,6 @@ _ORDER = list(VIEWS)
 
 
 def _needs(sql: str) -> list[str]:
-    import re
-
     wanted: set[str] = set()
     todo = [sql]
     while todo:
@@ -371,7 +370,7 @@ ORACLES: dict[str, str] = {
     "view_slides": _with("SELECT job_id, frame_idx, change_ratio FROM v_frames WHERE change_ratio >= 0.2"),
     "view_text_heavy": _with("SELECT job_id, frame_idx, name FROM v_frames WHERE length(ocr_text) > 120"),
     "text_signal": _with("SELECT job_id, coalesce(bool_or(length(ocr_text) > 0), false) AS has_text FROM v_frames GROUP BY job_id"),
-    "usable_frames": _with(f"SELECT job_id, frame_idx, name FROM v_frames WHERE {_trim(chr(111)+'cr_text', WEB)} <> '' AND coalesce(include_in_pdf, true)"),
+    "usable_frames": _with(f"SELECT job_id, frame_idx, name FROM v_frames WHERE {_trim('ocr_text', WEB)} <> '' AND coalesce(include_in_pdf, true)"),
     "kept_frames": _with("SELECT job_id, frame_idx, name FROM v_frames WHERE coalesce(include_in_pdf, true)"),
     "best_frames": _with(rf"""SELECT job_id, frame_idx, round(score, 6) AS score FROM (
  SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, frame_idx) AS rk, count(*) OVER (PARTITION BY job_id) AS n FROM (
