@@ -257,8 +257,14 @@ def _greedy(nodes: str, edges: str) -> str:
 # byte-wise edit distance counts characters.
 _WIDE = "".join(chr(c) for c in range(0xDF, 0x100)) + "ışğœ"
 _NARROW = "".join(chr(c) for c in range(33, 127) if chr(c).isupper() or chr(c) in "!\"#$%&*+,/<=>@[]^_{|}~")
+def _narrow(expr: str) -> str:
+    wide = _WIDE[: len(_NARROW)]
+    narrow = _NARROW[: len(_WIDE)]
+    return f"translate({expr}, '{wide}', '{narrow}')"
+
+
 _FORMS = f"""forms AS MATERIALIZED (SELECT job_id, frame_idx AS ord, row_number() OVER (PARTITION BY job_id ORDER BY frame_idx) AS rn,
- translate({_norm_ocr("coalesce(ocr_text, '')")}, '{_WIDE[:len(_NARROW)]}', '{_NARROW.replace("'", "''")[:len(_WIDE)]}') AS form FROM v_frames)"""
+ {_narrow(_norm_ocr("coalesce(ocr_text, '')"))} AS form FROM v_frames)"""
 _EDIT = _FORMS + ", " + _greedy(
     "SELECT job_id, ord, rn FROM forms",
     """SELECT x.job_id, x.ord AS a, y.ord AS b FROM forms x JOIN forms y ON x.job_id = y.job_id AND x.ord < y.ord
@@ -314,6 +320,8 @@ def _items(joiner: str) -> str:
 
 _PLAIN = "concat(" + ", ".join(f"CASE WHEN o{x} IS NOT NULL THEN concat('  ({x}) ', o{x}, chr(10)) ELSE '' END" for x in _LETTERS) + ")"
 
+_JSON_OPTS = ", ".join(f"CASE WHEN o{x} IS NOT NULL THEN concat('\"{x}\":', to_json(o{x})) END" for x in _LETTERS)
+
 ORACLES: dict[str, str] = {
     "ocr_words_to_text": _with(rf"""SELECT job_id, frame_idx, coalesce(text, '') AS text,
  round(coalesce(mean, CASE WHEN coalesce(text, '') <> '' THEN 70 ELSE 0 END), 6) AS mean_confidence FROM (
@@ -388,6 +396,10 @@ ORACLES: dict[str, str] = {
     "normalize_ocr": f"SELECT doc_id, {_norm_ocr('text')} AS norm FROM documents",
     "frequency_keys": _with(f"SELECT job_id, frame_idx, line_no, {_freq_key('line')} AS stem, {_dedupe_key('line')} AS norm FROM v_lines"),
     "content_hash": _with(f"SELECT job_id, q_idx, {_HASH} AS content_hash FROM v_bank"),
+    "levenshtein_pairs": f"""SELECT job_id, turn, round(CASE WHEN f = b THEN 1.0::DOUBLE WHEN length(f) = 0 OR length(b) = 0 THEN 0.0::DOUBLE
+ ELSE 1 - levenshtein(f, b)::DOUBLE / greatest(length(f), length(b)) END, 6) AS ratio FROM (
+ SELECT *, lag(f) OVER (PARTITION BY job_id ORDER BY turn) AS b FROM (
+  SELECT conv_id AS job_id, turn, {_narrow(_norm_ocr('text'))} AS f FROM conversations)) WHERE b IS NOT NULL""",
     "multiset_jaccard_pairs": _with(f"""SELECT job_id, frame_idx, line_no, round({_jaccard('t', 'b')}, 6) AS jaccard FROM (
  SELECT *, lag(t) OVER (PARTITION BY job_id, frame_idx ORDER BY line_no) AS b FROM (
   SELECT job_id, frame_idx, line_no, {_tokens('line')} AS t FROM v_lines)) WHERE b IS NOT NULL"""),
@@ -444,6 +456,9 @@ ORACLES: dict[str, str] = {
     "toggle_parity": _with("SELECT job_id, stage, count(*) AS toggles FROM v_logs GROUP BY 1, 2 HAVING count(*) % 2 = 1"),
     "enrichment_batches": _with("SELECT job_id, q_idx, batch_no, pos, cache_hit, call_pos FROM v_batches"),
     "cache_hits_misses": _with("SELECT job_id, count(*) FILTER (cache_hit) AS hits, count(*) FILTER (NOT cache_hit) AS misses FROM v_batches GROUP BY job_id"),
+    "pack_requests": _with(f"""SELECT job_id, batch_no, count(*) AS n, concat('[', string_agg(concat('{{"id":', to_json(id), ',"stem":', to_json(stem),
+ ',"options":{{', array_to_string(list_filter([{_JSON_OPTS}], lambda x: x IS NOT NULL), ','), '}}}}'), ',' ORDER BY call_pos), ']') AS request
+ FROM v_batches WHERE call_pos IS NOT NULL GROUP BY job_id, batch_no"""),
     "validate_replies": _with("SELECT job_id, batch_no, q_idx, id, stem, options FROM fixed", _FIX),
     "polished_bank": _with("""SELECT b.job_id, b.q_idx, CASE WHEN h.cache_hit THEN 'cached' ELSE coalesce(f.stem, b.stem) END AS stem,
  CASE WHEN h.cache_hit THEN 'A:hit' ELSE coalesce(f.options, b.options) END AS options
