@@ -320,6 +320,30 @@ def _items(joiner: str) -> str:
 
 _PLAIN = "concat(" + ", ".join(f"CASE WHEN o{x} IS NOT NULL THEN concat('  ({x}) ', o{x}, chr(10)) ELSE '' END" for x in _LETTERS) + ")"
 
+_HEAD_LINE = r"""(regexp_matches(l.body, '^\s*(?:Q(?:uestion)?\s*)?\d+\s*[).:]', 'i')
+ OR regexp_matches(l.body, '^\s*\(\s*[A-Ea-e]\s*\)\s*[).:]\s*.+$', 's') OR regexp_matches(l.body, '^\s*[A-E]\s*[).:]\s*.+$', 's'))"""
+_WORD_RUN = r"[\p{L}\p{N}_]+"
+_GLUE = (
+    rf"(NOT regexp_matches(l.tail, '^[a-z]{{1,2}}\.{DOC}+') AND regexp_matches(held, '[\p{{L}}\p{{N}}]$') "
+    rf"AND regexp_matches(l.tail, '^\p{{Ll}}') AND length(regexp_extract(held, '({_WORD_RUN})$', 1)) < 6 "
+    rf"AND lower(regexp_extract(held, '({_WORD_RUN})$', 1)) NOT IN ({', '.join(repr(w) for w in tx.NO_GLUE_AFTER)}) "
+    rf"AND lower(regexp_extract(l.tail, '^({_WORD_RUN})', 1)) NOT IN ({', '.join(repr(w) for w in tx.NO_GLUE_BEFORE)}))"
+)
+_FLUSH = "CASE WHEN w.buf IS NULL THEN w.done ELSE list_append(w.done, w.buf) END"
+# One step per line of a frame: the finished lines and the open buffer.
+_WRAP = rf"""wrap_lines AS MATERIALIZED (SELECT job_id, frame_idx, i, len(parts) AS n, parts[i] AS raw,
+ regexp_replace(parts[i], '^{DOC}+', '') AS tail, {_trim('parts[i]', DOC)} AS body FROM (
+ SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT job_id, frame_idx, string_split(nfc_normalize(ocr_text), chr(10)) AS parts FROM v_mcq))),
+ walk AS (
+ SELECT job_id, frame_idx, 0::BIGINT AS i, CAST([] AS VARCHAR[]) AS done, CAST(NULL AS VARCHAR) AS buf FROM v_mcq
+ UNION ALL
+ SELECT l.job_id, l.frame_idx, l.i,
+  CASE WHEN l.body = '' THEN list_append({_FLUSH}, l.raw) WHEN w.buf IS NULL OR {_HEAD_LINE} THEN {_FLUSH}
+   WHEN ends_with(held, '-') OR {_GLUE} THEN w.done ELSE {_FLUSH} END,
+  CASE WHEN l.body = '' THEN NULL WHEN w.buf IS NULL OR {_HEAD_LINE} THEN l.raw
+   WHEN ends_with(held, '-') THEN concat(held[:-2], l.tail) WHEN {_GLUE} THEN concat(held, l.tail) ELSE l.raw END
+ FROM (SELECT *, regexp_replace(buf, '{DOC}+$', '') AS held FROM walk) w
+ JOIN wrap_lines l ON l.job_id = w.job_id AND l.frame_idx = w.frame_idx AND l.i = w.i + 1)"""
 _JSON_OPTS = ", ".join(f"CASE WHEN o{x} IS NOT NULL THEN concat('\"{x}\":', to_json(o{x})) END" for x in _LETTERS)
 
 ORACLES: dict[str, str] = {
@@ -403,6 +427,8 @@ ORACLES: dict[str, str] = {
     "multiset_jaccard_pairs": _with(f"""SELECT job_id, frame_idx, line_no, round({_jaccard('t', 'b')}, 6) AS jaccard FROM (
  SELECT *, lag(t) OVER (PARTITION BY job_id, frame_idx ORDER BY line_no) AS b FROM (
   SELECT job_id, frame_idx, line_no, {_tokens('line')} AS t FROM v_lines)) WHERE b IS NOT NULL"""),
+    "merge_wrapped_lines": _with(f"""SELECT w.job_id, w.frame_idx, array_to_string({_FLUSH}, chr(10)) AS merged
+ FROM walk w JOIN (SELECT DISTINCT job_id, frame_idx, n FROM wrap_lines) z ON z.job_id = w.job_id AND z.frame_idx = w.frame_idx AND z.n = w.i""", _WRAP, True),
     "format_timestamp": _with("""SELECT job_id, frame_idx, CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60)
  ELSE printf('%d:%02d', s // 60, s % 60) END AS clock FROM (SELECT job_id, frame_idx, floor(seconds * 61.5::DOUBLE)::BIGINT AS s FROM v_frames)"""),
     "url_host_path_key": "SELECT page_id, CASE WHEN page_id % 6 <= 3 THEN substring(md5(url), 1, 11) END AS video_id FROM pages",
