@@ -530,7 +530,7 @@ ORACLES: dict[str, str] = {
  FROM v_logs WHERE stage NOT IN ('view', 'click')"""),
 }
 # Full-text edit distance is too slow as SQL to run on every check; the three results were
-# compared on whole tables once and are tested against a plain loop on a small fixture.
+# compared on whole tables once (before the last rework) and are tested against a plain loop on a small fixture.
 SLOW_ORACLES = {name: ORACLES.pop(name) for name in ("dup_groups_edit", "first_per_group", "dup_group_sizes")}
 for _kind, _name in (("block", "extract_questions"), ("inline", "extract_inline_options"), ("blob", "blob_fallback")):
     ORACLES[_name] = _with(
