@@ -42,8 +42,12 @@ def texts_of(column: pa.Array) -> list[str]:
 def put_file(path: str, data: bytes) -> None:
     """Write one whole file on the shared store: first under a name of its own, then moved,
     so a repeated or speculative task leaves the same complete file."""
-    fs, place = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (
-        pafs.LocalFileSystem(), path)
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path.removeprefix("file:")
+    if "://" in path:
+        fs, place = pafs.FileSystem.from_uri(path)
+    else:
+        fs, place = pafs.LocalFileSystem(), path
     folder, _, name = place.rpartition("/")
     fs.create_dir(folder, recursive=True)
     part = f"{folder}/_{name}.{uuid.uuid4().hex}"

@@ -6,14 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizlake.llm import packing, piece_codec
-from quizlake.llm.common import stored, table
+from quizlake.llm import maxscore, near_vectors, packing, piece_codec, token_files, warc
+from quizlake.llm.common import scratch, stored, table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = piece_codec.encoded(docs, PIECE_MODEL)
@@ -26,15 +30,68 @@ def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(table(spark, sf_dir, "documents"), BYTE_VOCABULARY, end_id=2)
     cut = stored(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
     return packing.placed(cut)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    records = warc.record_types(table(spark, sf_dir, "pages"))
+    warc.write_bundles(records, path).write.parquet(f"{path}-index")
+    back = warc.read_bundles(spark, path)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "tokens")
+    ids = stored(token_files.token_ids(table(spark, sf_dir, "documents"), WORD_VOCABULARY, end_id=1), "ids")
+    manifest = token_files.write_files(ids, path)
+    return token_files.read_files(spark, path, manifest).select(
+        "doc_id",
+        "start",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
+
+
 QUERIES = {
+    "op1_maxscore": op1_maxscore,
     "op2_piece_codec": op2_piece_codec,
+    "op5_near_vectors": op5_near_vectors,
     "op6_packing": op6_packing,
+    "op8_warc": op8_warc,
+    "op10_token_files": op10_token_files,
 }
 
-ORACLES: dict[str, str] = {}
+_VECTORS = """SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+ WHERE vec_id IS NOT NULL AND len(embedding) > 0
+ AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"""
+
+ORACLES: dict[str, str] = {
+    "op1_maxscore": f"""WITH v AS (SELECT vec_id, list_transform(v, lambda x: floor(64 * x)) AS v FROM ({_VECTORS})),
+ s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.v, d.v) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id % 20 = 0 AND d.vec_id <> q.vec_id)
+ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id, score FROM s QUALIFY rank <= 20""",
+    "op5_near_vectors": f"""WITH RECURSIVE v AS (SELECT * FROM ({_VECTORS}) WHERE len(list_filter(v, lambda x: x <> 0)) > 0),
+ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+  ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95),
+ r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+ n AS (SELECT a, count(*) AS n FROM l GROUP BY a), c AS (SELECT a, min(b) AS c FROM r GROUP BY a)
+ SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id,
+  vec_id = coalesce(c, vec_id) AS kept
+ FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id WHERE vec_id IS NOT NULL""",
+    "op8_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS p FROM pages),
+ d AS (SELECT page_id, CAST(strlen(p) AS BIGINT) AS payload_bytes, sha1(p) AS payload_digest FROM p),
+ w AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN
+  max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS first_id FROM d)
+ SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM w""",
+}
