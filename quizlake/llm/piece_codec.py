@@ -83,8 +83,8 @@ class PieceCodec:
         chars = "".join(re.escape(t) for t in self.tokens if len(t) == 1)
         self.known_runs = re.compile(f"([{chars}]+)|([^{chars}])", re.S).findall
         self.compatible = lru_cache(1 << 18)(lambda a, b: self._merged(a + b) == [a, b])
-        self.part_cache = WordCache(self._encode_part, 400_000)
-        self.words = WordCache(self._encode_word, 150_000)
+        self.part_cache = WordCache(self._encode_part, 250_000)
+        self.words = WordCache(self._encode_word, 120_000)
 
     def _merged(self, chars: str) -> list[str]:
         """Merge neighbours, best score first, leftmost among equals."""

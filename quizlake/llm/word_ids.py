@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 
 from quizlake.llm.common import WordRows, text_blocks
 
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
 
 # Separators that Python's, Arrow's and the library's ideas of white space differ in.
 ODD_SPACE = "[\\x1c-\\x1f\u0085\u180e]"
