@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizlake.llm import maxscore, near_vectors, packing, piece_codec, token_files, warc
+from quizlake.llm import language, maxscore, near_vectors, packing, piece_codec, token_files, toxicity, warc
 from quizlake.llm.common import scratch, stored, table
+from quizlake.llm.word_ids import word_ids
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,6 +31,14 @@ def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    known = language.learn(docs.filter(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), language.predicted(docs, known).alias("_l"))
+    return found.select("doc_id", "held_out", F.col("_l.lang").alias("lang_pred"), F.col("_l.score").alias("score"))
+
+
 def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.95)
 
@@ -48,10 +57,30 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+TOXIC_CHAIN = ["poor", "toxic"]
+
+
+def toxicity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels as categories of the chain: poor quality first, then toxic."""
+    return table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("poor"), "toxic")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.fit(docs, toxicity_labels(spark, sf_dir), TOXIC_CHAIN)
+    scored = chain.score(docs)
+    return scored.select(
+        "doc_id",
+        F.col("_p_poor").alias("p_poor"),
+        F.col("_p_toxic").alias("p_toxic"),
+        (F.col("_p_toxic") >= 0.5).alias("toxic"),
+    )
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
     ids = stored(token_files.token_ids(table(spark, sf_dir, "documents"), WORD_VOCABULARY, end_id=1), "ids")
-    manifest = token_files.write_files(ids, path)
+    manifest = token_files.write_files(ids, path, word_ids(WORD_VOCABULARY).library.get_vocab_size())
     return token_files.read_files(spark, path, manifest).select(
         "doc_id",
         "start",
@@ -63,9 +92,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_maxscore": op1_maxscore,
     "op2_piece_codec": op2_piece_codec,
+    "op3_language": op3_language,
     "op5_near_vectors": op5_near_vectors,
     "op6_packing": op6_packing,
     "op8_warc": op8_warc,
+    "op9_toxicity": op9_toxicity,
     "op10_token_files": op10_token_files,
 }
 

@@ -34,22 +34,28 @@ FILE_IDS = 4_000_000
 SIZES = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.int64) + 1
 
 
+def id_type(vocabulary_size: int) -> type:
+    """Type of stored ids."""
+    return np.uint16 if vocabulary_size <= 1 << 16 else np.uint32
+
+
 def token_ids(docs: DataFrame, vocabulary: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`key` and `ids` (little-endian u32) of every whole text, the end id last. Null text
-    counts as empty."""
+    """`key` and `ids` (little-endian u16 if the whole vocabulary fits, else u32) of every
+    whole text, the end id last. Null text counts as empty."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, tail = word_ids(vocabulary), np.array([end_id], np.int32)
+        kind = id_type(encoder.library.get_vocab_size())
         for batch in batches:
             with paused_gc():
-                rows = [np.concatenate([r, tail]).tobytes() for r in encoder.encode_all(batch.column(1))]
+                rows = [np.concatenate([r, tail]).astype(kind).tobytes() for r in encoder.encode_all(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=[key, "ids"])
 
     key_type = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(encode, f"`{key}` {key_type}, ids binary")
 
 
-def frequency_ranked(ids: DataFrame) -> np.ndarray:
+def frequency_ranked(ids: DataFrame, kind: type) -> np.ndarray:
     """All ids that occur, most frequent first, ties by id: at most one row per vocabulary
     entry reaches the driver."""
 
@@ -57,7 +63,7 @@ def frequency_ranked(ids: DataFrame) -> np.ndarray:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for row in batch.column(0):
-                if len(found := np.frombuffer(row.as_py(), np.uint32)):
+                if len(found := np.frombuffer(row.as_py(), kind)):
                     some = np.bincount(found)
                     if len(some) > len(total):
                         total = np.pad(total, (0, len(some) - len(total)))
@@ -135,11 +141,14 @@ def read_file(content: bytes) -> tuple[list[int | None], list[np.ndarray]]:
     return [None if x else k for k, x in zip(keys.tolist(), none, strict=True)], rows
 
 
-def write_files(ids: DataFrame, path: str, key: str = "doc_id", file_ids: int = FILE_IDS) -> DataFrame:
+def write_files(
+    ids: DataFrame, path: str, vocabulary_size: int, key: str = "doc_id", file_ids: int = FILE_IDS
+) -> DataFrame:
     """Write `ids` (`key`, ids) as token files in ascending order of `key` (null first) and
     return the stored manifest: file, documents, ids, base (ids in the files before it).
     `ids` is read more than once: hand in a stored table."""
-    table = frequency_ranked(ids)
+    kind = id_type(vocabulary_size)
+    table = frequency_ranked(ids, kind)
     put_file(f"{path}/rank.table", table.tobytes())
     rank = np.zeros(int(table.max()) + 1 if len(table) else 1, np.uint32)
     rank[table] = np.arange(len(table), dtype=np.uint32)
@@ -161,7 +170,7 @@ def write_files(ids: DataFrame, path: str, key: str = "doc_id", file_ids: int =
 
         for batch in batches:
             for k, row in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = np.frombuffer(row.as_py(), np.uint32)
+                found = np.frombuffer(row.as_py(), kind)
                 if rows and held + len(found) > file_ids:
                     yield flush()
                 keys.append(k)
