@@ -23,6 +23,10 @@ from quizlake.llm.common import stored
 from quizlake.llm.vectors import blocks, finite, padded
 
 SHARD_ROWS, QUERY_ROWS, STEP_ROWS = 8192, 512, 1024
+#: Terms are non-essential while their bounds stay below this share of the way from the least
+#: score to the k-th best. 1 would be the most terms allowed; with dense vectors a traversal of
+#: few more postings is far cheaper than a probe of very many candidates.
+SPLIT = 0.2
 #: Components beyond this could overflow a long score; such vectors take no part.
 LARGEST = 2**28
 
@@ -65,7 +69,9 @@ def search(queries: np.ndarray, query_keys: np.ndarray, values: np.ndarray, keys
         bound = greatest - least
         order = np.argsort(bound, axis=1)  # rising bounds
         reach = least.sum(1)[:, None] + np.cumsum(np.take_along_axis(bound, order, 1), axis=1)
-        spare = (reach < best.bar[:, None]).sum(1)  # so many terms are non-essential
+        base = least.sum(1)[:, None]
+        bar = base + SPLIT * (best.bar[:, None] - base)
+        spare = (reach < bar).sum(1)  # so many terms are non-essential
         essential = np.ones_like(queries, bool)
         np.put_along_axis(essential, order, np.arange(queries.shape[1]) >= spare[:, None], axis=1)
         partial = np.where(essential, weights, 0).astype(kind) @ part.T

@@ -59,7 +59,7 @@ class PieceCodec:
     """Encoder of one model file; the library is used for the vocabulary and for `decode`."""
 
     def __init__(self, model: str):
-        self.library = lib = sentencepiece.SentencePieceProcessor(model_file=model)
+        self.library = lib = library(model)
         self.end = lib.eos_id()
         self.ids: dict[str, int] = {}
         self.score: dict[str, float] = {}
@@ -82,7 +82,7 @@ class PieceCodec:
         self.find.make_automaton()
         chars = "".join(re.escape(t) for t in self.tokens if len(t) == 1)
         self.known_runs = re.compile(f"([{chars}]+)|([^{chars}])", re.S).findall
-        self.compatible = lru_cache(1 << 18)(lambda a, b: self._merged(a + b) == [a, b])
+        self.compatible = lru_cache(1 << 17)(lambda a, b: self._merged(a + b) == [a, b])
         self.part_cache = WordCache(self._encode_part, 250_000)
         self.words = WordCache(self._encode_word, 120_000)
 
@@ -181,11 +181,39 @@ def codec(model: str) -> PieceCodec:
     return PieceCodec(model)
 
 
-def encoded(docs: DataFrame, model: str, text: str = "text", name: str = "ids") -> DataFrame:
-    """`docs` with an array of ids (end id included) of every whole text.
+@lru_cache(2)
+def library(model: str) -> sentencepiece.SentencePieceProcessor:
+    return sentencepiece.SentencePieceProcessor(model_file=model)
+
 
-    Null text counts as empty and gives the end id alone. Other columns stay as they are.
+def coded(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`key`, ids (end id included) and decoded text of every whole text, in one pass.
+
+    Null text counts as empty: it gives the end id alone and decodes to the empty text.
+    Texts go through in blocks of a few megabytes, which bounds a worker's memory.
     """
+    key_type = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(model)
+        for batch in batches:
+            at = 0
+            for block in text_blocks(batch.column(1), 4 << 20):
+                with paused_gc():
+                    ids = list(c.encode_all(block))
+                    back = [c.decode(row.tolist()) for row in ids]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, len(block)), int_lists(ids), pa.array(back, pa.string())],
+                    names=[key, "ids", "decoded"],
+                )
+                at += len(block)
+
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {key_type}, ids array<int>, decoded string")
+
+
+def encoded(docs: DataFrame, model: str, text: str = "text", name: str = "ids") -> DataFrame:
+    """`docs` with an array of ids (end id included) of every whole text; null text counts as
+    empty. Other columns stay as they are."""
 
     @F.arrow_udf("array<int>")
     def encode(column: pa.Array) -> pa.Array:
@@ -201,7 +229,7 @@ def decoded(ids: Column, model: str) -> Column:
 
     @F.arrow_udf("string")
     def decode(column: pa.Array) -> pa.Array:
-        c = codec(model)
-        return pa.array([None if r is None else c.decode(r) for r in column.to_pylist()], pa.string())
+        lib = library(model)
+        return pa.array([None if r is None else lib.decode(r) for r in column.to_pylist()], pa.string())
 
     return decode(ids)

@@ -20,9 +20,7 @@ def op1_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = piece_codec.encoded(docs, PIECE_MODEL)
-    coded = coded.select("doc_id", "ids", piece_codec.decoded(F.col("ids"), PIECE_MODEL).alias("decoded"))
+    coded = piece_codec.coded(table(spark, sf_dir, "documents"), PIECE_MODEL)
     return coded.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),

@@ -19,7 +19,11 @@ from pyspark.sql import functions as F
 
 from quizlake.llm.common import stored
 
-SAMPLE, FOLDS, LEAST_TEXTS, VOCABULARY = 20_000, 3, 5, 1 << 17
+SAMPLE, FOLDS = 20_000, 3
+#: Words of at least this share of the sampled texts are features; the vocabulary has a fixed bound.
+LEAST_SHARE, VOCABULARY = 0.005, 20_000
+#: Labels are noisy: an L1 penalty drops the words that go with a label by chance.
+PENALTY, STEPS = 0.05, 25
 WORDS = r"[^\p{L}\p{M}\p{N}]+"
 
 
@@ -71,7 +75,7 @@ def fit(
 
     `labels` holds the key and one 0/1 column per category; rows with a null in any of them,
     or without a document, teach nothing. The vocabulary is the words of at least
-    `LEAST_TEXTS` sampled texts, `VOCABULARY` at most."""
+    `LEAST_SHARE` of the sampled texts, `VOCABULARY` at most."""
     full = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [key, *categories]])
     one = [F.max(F.col(c).cast("double")).alias(f"_y_{c}") for c in categories]
     marks = labels.filter(full).groupBy(F.col(key).alias("_key")).agg(*one)
@@ -85,9 +89,7 @@ def fit(
     taught = stored(_words(taught, "_text").drop("_text").coalesce(8), "toxicity-sample")
     if taught.isEmpty():
         return Chain(categories, None, [])
-    counter = CountVectorizer(inputCol="_tokens", outputCol="_words", binary=True, minDF=LEAST_TEXTS, vocabSize=VOCABULARY)
-    if taught.count() < 20 * LEAST_TEXTS:
-        counter = counter.setMinDF(1.0)
+    counter = CountVectorizer(inputCol="_tokens", outputCol="_words", binary=True, minDF=LEAST_SHARE, vocabSize=VOCABULARY)
     words = counter.fit(taught)
     taught = words.transform(taught).drop("_tokens").persist()
     models = []
@@ -113,6 +115,6 @@ def _linear(rows: DataFrame, name: str) -> LogisticRegressionModel:
     ones = ones or 0.0
     weight = F.when(y > 0, n / (2 * max(ones, 1.0))).otherwise(n / (2 * max(n - ones, 1.0)))
     regression = LogisticRegression(
-        featuresCol="_features", labelCol=f"_y_{name}", weightCol="_weight", maxIter=30, regParam=1e-3
+        featuresCol="_features", labelCol=f"_y_{name}", weightCol="_weight", maxIter=STEPS, regParam=PENALTY, elasticNetParam=1.0
     )
     return regression.fit(rows.withColumn("_weight", weight))
