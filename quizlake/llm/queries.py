@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizlake.llm import language, maxscore, near_vectors, packing, piece_codec, token_files, toxicity, warc
+from quizlake.llm import language, maxscore, near_vectors, packing, piece_codec, suffixes, token_files, toxicity, warc
 from quizlake.llm.common import scratch, stored, table
 from quizlake.llm.word_ids import word_ids
 
@@ -37,6 +37,17 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("_l.lang").alias("lang_pred"), F.col("_l.score").alias("score"))
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        (F.size("spans") / 2).cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.95)
 
@@ -91,6 +102,7 @@ QUERIES = {
     "op1_maxscore": op1_maxscore,
     "op2_piece_codec": op2_piece_codec,
     "op3_language": op3_language,
+    "op4_suffixes": op4_suffixes,
     "op5_near_vectors": op5_near_vectors,
     "op6_packing": op6_packing,
     "op8_warc": op8_warc,
