@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizlake.llm import language, maxscore, near_vectors, packing, piece_codec, suffixes, token_files, toxicity, warc
+from quizlake.llm import language, maxscore, near_texts, near_vectors, packing, piece_codec, suffixes, token_files, toxicity, warc
 from quizlake.llm.common import scratch, stored, table
 from quizlake.llm.word_ids import word_ids
 
@@ -58,6 +58,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.placed(cut)
 
 
+def op7_near_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_texts.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     records = warc.record_types(table(spark, sf_dir, "pages"))
@@ -105,6 +109,7 @@ QUERIES = {
     "op4_suffixes": op4_suffixes,
     "op5_near_vectors": op5_near_vectors,
     "op6_packing": op6_packing,
+    "op7_near_texts": op7_near_texts,
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_token_files": op10_token_files,

@@ -346,12 +346,13 @@ def _merged(starts: list[int], stops: list[int]) -> list[tuple[int, int]]:
 
 def deduplicated(docs: DataFrame, batches: int = BATCHES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: `key`, n_bytes, spans (removed runs, start and stop), kept (the remaining
-    bytes in a row; cut inside a character they need not be valid UTF-8)."""
+    bytes in a row; cut inside a character they need not be valid UTF-8) and kept_text (the
+    same without the broken characters at cuts)."""
     held, spans = repeated(docs, batches, key, text)
     lists = spans.groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
 
     def remove(batch: pa.RecordBatch):
-        out = ([], [], [], [])
+        out = ([], [], [], [], [])
         for d, t, starts, stops in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             data = t.encode()
             runs = _merged(starts or [], stops or [])
@@ -361,10 +362,11 @@ def deduplicated(docs: DataFrame, batches: int = BATCHES, key: str = "doc_id", t
                 at = b
             kept.append(data[at:])
             flat = [x for run in runs for x in run]
-            for column, value in zip(out, (d, len(data), flat, b"".join(kept)), strict=True):
+            rest = b"".join(kept)
+            for column, value in zip(out, (d, len(data), flat, rest, rest.decode("utf-8", "ignore")), strict=True):
                 column.append(value)
         yield out
 
     made = _map(held.join(lists, "doc", "left").select("doc", "text", "starts", "stops"), remove,
-                "doc bigint, n_bytes bigint, spans array<int>, kept binary")
+                "doc bigint, n_bytes bigint, spans array<int>, kept binary, kept_text string")
     return made.withColumnRenamed("doc", key)
