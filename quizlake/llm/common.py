@@ -30,10 +30,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet on the shared store and read again: later jobs, and tasks
     that repeat after a lost executor, start from these files."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the files of a `stored` table that nothing reads any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings of a text column; null counts as the empty text."""
     return ["" if t is None else t for t in column.to_pylist()]

@@ -8,8 +8,9 @@ the 64 bytes that follow, so equal strings hold equal places.
 *Index.* Per place the longest match with any other place is wanted. In sorted order it is the
 match with a neighbour. New batches of documents are sorted by what follows their places, then
 merge-scanned with each existing level; two levels of equal size are merged into one of twice
-the size, so an index of n batches has at most log n levels. Before that, places whose next 64
-bytes occur once in the corpus are left out, and equal contexts are one entry with a count.
+the size, so an index of n batches has at most log n levels. Before that, places whose next 160
+bytes occur once in the corpus are left out, and equal contexts are one entry with a count. An
+entry holds what follows its first 160 bytes; their hash stands for those.
 *Edges.* The end of the longest match never falls as one goes right in a text. So what lies
 between two places is settled by them, except where matches begin and end: only the windows
 there, and windows without a place, are hashed and counted, each on its own.
@@ -27,10 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quizlake.llm.common import stored
+from quizlake.llm.common import discard, stored
 
 LEAST, GRAM, SPREAD = 400, 16, 48
 PREFIX = GRAM + SPREAD
+#: A place is looked up by the hash of so many bytes. Windows whose first place is too near
+#: their end to hold them (under one in a hundred) are compared each on its own.
+KEY = 160
 CONTEXT = LEAST + 2 * SPREAD
 BATCHES = 4
 
@@ -90,10 +94,10 @@ def _found_places(batch: pa.RecordBatch):
         if len(data) < LEAST:
             continue
         view = memoryview(data)
-        at = places(np.frombuffer(data, np.uint8)).tolist()
+        at = [p for p in places(np.frombuffer(data, np.uint8)).tolist() if p + KEY <= len(data)]
         doc.extend([d] * len(at))
         pos.extend(at)
-        key.extend([_hash(view[p : p + PREFIX]) for p in at])
+        key.extend([_hash(view[p : p + KEY]) for p in at])
         if len(doc) > 500_000:
             yield doc, pos, key
             doc, pos, key = [], [], []
@@ -107,7 +111,7 @@ def _contexts(batch: pa.RecordBatch):
         view = memoryview(text.encode())
         for p in at:
             part = view[p : p + CONTEXT]
-            for column, value in zip(out, (d, p, _hash(view[p : p + PREFIX]), _hash(part), len(part)), strict=True):
+            for column, value in zip(out, (d, p, _hash(view[p : p + KEY]), _hash(part), len(part)), strict=True):
                 column.append(value)
     yield out
 
@@ -117,8 +121,8 @@ def _context_bytes(batch: pa.RecordBatch):
     for d, text, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
         data = text.encode()
         for p in at:
-            part = data[p : p + CONTEXT]
-            for column, value in zip(out, (d, p, _hash(memoryview(part)[:PREFIX]), part), strict=True):
+            row = (d, p, _hash(memoryview(data)[p : p + KEY]), data[p + KEY : p + CONTEXT])
+            for column, value in zip(out, row, strict=True):
                 column.append(value)
     yield out
 
@@ -128,9 +132,10 @@ def _common(a: list[bytes], b: list[bytes]) -> np.ndarray:
     if not a:
         return np.zeros(0, np.int64)
     sizes = np.minimum([len(x) for x in a], [len(x) for x in b])
-    x, y = (np.frombuffer(b"".join(s.ljust(CONTEXT, b"\0") for s in side), np.uint8).reshape(-1, CONTEXT) for side in (a, b))
+    width = CONTEXT - KEY
+    x, y = (np.frombuffer(b"".join(s.ljust(width, b"\0") for s in side), np.uint8).reshape(-1, width) for side in (a, b))
     differ = x != y
-    first = np.where(differ.any(1), differ.argmax(1), CONTEXT)
+    first = np.where(differ.any(1), differ.argmax(1), width)
     return np.minimum(first, sizes)
 
 
@@ -141,6 +146,7 @@ class SuffixFamily:
     def __init__(self) -> None:
         self.levels: dict[int, DataFrame] = {}
         self.matches: list[DataFrame] = []
+        self.tables: list[DataFrame] = []
 
     def _scan(self, rows: DataFrame) -> DataFrame:
         """Sort and scan. Partitions are ranges, so that a prefix that very many suffixes share
@@ -153,10 +159,13 @@ class SuffixFamily:
                     some = batch.slice(at, 4096).to_pydict()
                     context = some["context"]
                     if last is not None:
-                        yield emit(last, part, first, False, int(_common([last["context"]], [context[0]])[0]))
+                        ahead = shared(last["key"], last["context"], some["key"][0], context[0])
+                        yield emit(last, part, first, False, ahead)
                         first = False
-                    near = _common(context[:-1], context[1:])
-                    ahead = int(_common([last["context"]], [context[0]])[0]) if last else 0
+                    else:
+                        ahead = 0
+                    keys = np.array(some["key"])
+                    near = np.where(keys[1:] == keys[:-1], _common(context[:-1], context[1:]) + KEY, 0)
                     common = np.maximum(np.concatenate([[ahead], near]), np.concatenate([near, [0]]))
                     n = len(context) - 1
                     if n:
@@ -170,6 +179,9 @@ class SuffixFamily:
             if last is not None:
                 yield emit(last, part, first, True, 0)
 
+        def shared(key_a: int, a: bytes, key_b: int, b: bytes) -> int:
+            return KEY + int(_common([a], [b])[0]) if key_a == key_b else 0
+
         def emit(row: dict, part: int, first: bool, end: bool, after: int) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
                 [pa.array([row["key"]], pa.int64()), pa.array([row["context"]], pa.binary()),
@@ -182,13 +194,14 @@ class SuffixFamily:
                   "is_first boolean, is_last boolean")
         ordered = rows.repartitionByRange("key", "context").sortWithinPartitions("key", "context", "doc", "pos")
         level = stored(ordered.select("key", "context", "doc", "pos").mapInArrow(scan, schema), "suffix-level")
+        self.tables.append(level)
         self.matches.append(level.select("doc", "pos", "common"))
-        ends = level.filter("is_first or is_last").select("part", "is_first", "is_last", "context", "doc", "pos")
+        ends = level.filter("is_first or is_last").select("part", "is_first", "is_last", "key", "context", "doc", "pos")
         ends = sorted(ends.collect(), key=lambda r: (r["part"], not r["is_first"]))  # two rows a partition
         edge = []
         for a, b in zip(ends[:-1], ends[1:], strict=True):
             if a["part"] != b["part"]:
-                common = int(_common([bytes(a["context"])], [bytes(b["context"])])[0])
+                common = shared(a["key"], bytes(a["context"]), b["key"], bytes(b["context"]))
                 edge += [(r["doc"], r["pos"], common) for r in (a, b)]
         if edge:
             self.matches.append(rows.sparkSession.createDataFrame(edge, "doc bigint, pos int, common bigint"))
@@ -224,14 +237,14 @@ def _gaps(data: bytes, found: dict[int, int]):
     lower, start = 0, 0
     for s in [*places(np.frombuffer(data, np.uint8)).tolist(), -1]:
         stop = last if s < 0 else min(s, last)
-        bare = stop if s < 0 else min(stop, s - LEAST + PREFIX - 1)
+        bare = stop if s < 0 else min(stop, s - LEAST + KEY - 1)
         if bare >= start:
             yield start, bare, -1, bare + LEAST > lower
         if s < 0:
             return
         length = found.get(s, 0)
-        # No window right of `upper` - LEAST repeats: matches shorter than PREFIX are not known.
-        upper = len(data) if length >= CONTEXT else max(s + length, s + PREFIX - 1)
+        # No window right of `upper` - LEAST repeats: matches shorter than KEY are not known.
+        upper = len(data) if length >= CONTEXT else max(s + length, s + KEY - 1)
         first, final = max(start, bare + 1), min(stop, upper - LEAST)
         if first <= final:
             yield first, final, s, max(first, lower - LEAST + 1) <= min(final, s - 1)
@@ -250,7 +263,7 @@ def _open_gaps(batch: pa.RecordBatch):
             continue
         view = memoryview(data)
         for start, stop, place, is_open in _gaps(data, dict(zip(at or [], size or [], strict=True))):
-            key = 0 if place < 0 else _hash(view[place : place + PREFIX])
+            key = 0 if place < 0 else _hash(view[place : place + KEY])
             row = (d, start, stop, key, _hash(view[start : stop + LEAST]), is_open)
             for column, value in zip(out, row, strict=True):
                 column.append(value)
@@ -299,6 +312,7 @@ def repeated(docs: DataFrame, batches: int = BATCHES, key: str = "doc_id", text:
     listed = _with_lists(held, found.join(often, "key", "left_semi"), ["pos"])
     hashed = stored(_map(listed, _contexts, "doc bigint, pos int, key bigint, context bigint, length int"), "suffix-contexts")
 
+    discard(found)
     same = hashed.groupBy("key", "context").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "pos")).alias("one"))
     same = stored(same, "suffix-same")
@@ -310,9 +324,11 @@ def repeated(docs: DataFrame, batches: int = BATCHES, key: str = "doc_id", text:
         family.add(indexed.filter(F.pmod(F.xxhash64("doc"), F.lit(batches)) == b).select("key", "context", "doc", "pos"))
     copied = hashed.join(same.filter("n > 1").select("key", "context"), ["key", "context"], "left_semi")
     length = copied.select("doc", "pos", F.col("length").alias("common")).unionByName(
-        family.longest().select("doc", "pos", F.col("common").cast("int").alias("common")).filter(F.col("common") >= PREFIX))
+        family.longest().select("doc", "pos", F.col("common").cast("int").alias("common")).filter(F.col("common") >= KEY))
     length = stored(length.groupBy("doc", "pos").agg(F.max("common").alias("common")), "suffix-longest")
 
+    for done in (hashed, same, indexed, *family.tables):
+        discard(done)
     lists = length.groupBy("doc").agg(F.collect_list("pos").alias("pos"), F.collect_list("common").alias("common"))
     gaps = stored(_map(
         held.join(lists, "doc", "left").select("doc", "text", "pos", "common"), _open_gaps,

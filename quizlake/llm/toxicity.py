@@ -21,7 +21,7 @@ from quizlake.llm.common import stored
 
 SAMPLE, FOLDS = 20_000, 3
 #: Words of at least this share of the sampled texts are features; the vocabulary has a fixed bound.
-LEAST_SHARE, VOCABULARY = 0.005, 20_000
+LEAST_SHARE, VOCABULARY = 0.01, 20_000
 #: Labels are noisy: an L1 penalty drops the words that go with a label by chance.
 PENALTY, STEPS = 0.05, 25
 WORDS = r"[^\p{L}\p{M}\p{N}]+"
