@@ -17,13 +17,13 @@ DOC_SPACE = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{20
 WORD = r"[\p{L}\p{N}_]"
 # Question, option and enumeration markers.
 QUESTION_MARK = r"\?"
-MCQ_PARENS = r"\(\s*[A-Da-d]\s*\)"
-MCQ_DOT = r"(?m)(?:^|\s)[A-Da-d]\s*[).]\s"
-ROMAN_ITEM = r"(?i)(?:^|\s)(?:i{1,3}|iv|v|vi{0,3}|ix|x)\s*[).:]"
-STEM_LABEL = r"(?i)^\s*(?:Q(?:uestion)?\s*)?\d+\s*[).:]"
-OPTION_PAREN = r"(?s)^\s*\(\s*([A-Ea-e])\s*\)\s*[).:]\s*(.+)$"
-OPTION_DOT = r"(?s)^\s*([A-E])\s*[).:]\s*(.+)$"
-INLINE_OPTION = r"\(\s*[A-Da-d]\s*\)"
+MCQ_PARENS = rf"\({WEB_SPACE}*[A-Da-d]{WEB_SPACE}*\)"
+MCQ_DOT = rf"(?m)(?:^|{WEB_SPACE})[A-Da-d]{WEB_SPACE}*[).]{WEB_SPACE}"
+ROMAN_ITEM = rf"(?i)(?:^|{WEB_SPACE})(?:i{{1,3}}|iv|v|vi{{0,3}}|ix|x){WEB_SPACE}*[).:]"
+STEM_LABEL = rf"(?i)^{DOC_SPACE}*(?:Q(?:uestion)?{DOC_SPACE}*)?\p{{Nd}}+{DOC_SPACE}*[).:]"
+OPTION_PAREN = rf"(?s)^{DOC_SPACE}*\({DOC_SPACE}*([A-Ea-e]){DOC_SPACE}*\){DOC_SPACE}*[).:]{DOC_SPACE}*(.+)$"
+OPTION_DOT = rf"(?s)^{DOC_SPACE}*([A-E]){DOC_SPACE}*[).:]{DOC_SPACE}*(.+)$"
+INLINE_OPTION = rf"\({DOC_SPACE}*[A-Da-d]{DOC_SPACE}*\)"
 # Words after which a wrapped line is never glued.
 NO_GLUE_AFTER = (
     "a", "an", "the", "of", "in", "on", "at", "to", "for", "and", "or", "nor", "but", "is",
@@ -108,14 +108,16 @@ def sorted_tokens(c: Column | str) -> Column:
     return F.array_join(F.array_sort(F.filter(F.split(_col(c), " "), lambda t: t != "")), " ")
 
 
+def numbered_tokens(tokens: Column) -> Column:
+    """Tokens in order, each with the number of its repeat: sets of these intersect as the
+    token arrays do as multisets."""
+    ordered = F.array_sort(tokens)
+    return F.transform(ordered, lambda t, i: F.concat_ws("#", t, (i - F.array_position(ordered, t)).cast("string")))
+
+
 def multiset_jaccard(a: Column, b: Column) -> Column:
     """Jaccard of two token arrays as multisets; two empty arrays score 1."""
-    inter = F.aggregate(
-        F.array_distinct(a),
-        F.lit(0),
-        lambda acc, t: acc
-        + F.least(F.size(F.filter(a, lambda x: x == t)), F.size(F.filter(b, lambda x: x == t))),
-    )
+    inter = F.size(F.array_intersect(numbered_tokens(a), numbered_tokens(b)))
     total = F.size(a) + F.size(b)
     return F.when(total == 0, F.lit(1.0)).otherwise(inter / (total - inter))
 

@@ -89,9 +89,9 @@ def _json_text(element: Column, field: str) -> Column:
     )
 
 
-def validated(batches: DataFrame, replies: DataFrame) -> DataFrame:
-    """Reply rows of accepted batches: the reply must be a JSON array of objects, one per
-    request row. Columns: batch key, call_pos, element (text) and v (variant)."""
+def validated(batches: DataFrame, replies: DataFrame, objects: bool = False) -> DataFrame:
+    """Reply rows of accepted batches: the reply must be a JSON array with one element per
+    request row, for corrections (`objects`) of objects only. Columns: batch key, call_pos, element (text) and v (variant)."""
     sizes = batches.filter(F.col("call_pos").isNotNull()).groupBy(*BATCH).agg(F.count(F.lit(1)).alias("n"))
     body = tx.unwrap_fence("reply", "json")
     parsed = sizes.join(replies, BATCH).select(
@@ -100,7 +100,7 @@ def validated(batches: DataFrame, replies: DataFrame) -> DataFrame:
     good = parsed.filter(
         F.col("elements").isNotNull()
         & (F.size("elements") == F.col("n"))
-        & F.forall("elements", lambda e: F.coalesce(e.startswith("{"), F.lit(False)))
+        & (F.lit(not objects) | F.forall("elements", lambda e: F.coalesce(e.startswith("{"), F.lit(False))))
     )
     return good.select(*BATCH, F.posexplode("elements").alias("call_pos", "element")).select(
         *BATCH, F.col("call_pos").cast("bigint").alias("call_pos"), "element", F.try_parse_json("element").alias("v")
@@ -115,7 +115,7 @@ def corrections(batches: DataFrame, replies: DataFrame) -> DataFrame:
         raw_options.startswith("{"),
         F.map_filter(F.from_json(raw_options, "map<string,string>"), lambda _, x: x.isNotNull()),
     )
-    rows = validated(batches, replies).select(
+    rows = validated(batches, replies, objects=True).select(
         *BATCH,
         "call_pos",
         _json_text(v, "id").alias("_id"),
@@ -173,7 +173,7 @@ def updated_cache(cache: DataFrame, batches: DataFrame, replies: DataFrame, cach
 
 def counters(questions: DataFrame, batches: DataFrame, replies: DataFrame, mode: str) -> DataFrame:
     """Calls with an accepted reply, cache hits and skipped questions per job."""
-    accepted = validated(batches, replies).select(*BATCH).distinct().groupBy("job_id").agg(
+    accepted = validated(batches, replies, objects=True).select(*BATCH).distinct().groupBy("job_id").agg(
         F.count(F.lit(1)).alias("calls")
     )
     hits = batches.groupBy("job_id").agg(F.count_if("cache_hit").alias("cache_hits"))

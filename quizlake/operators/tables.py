@@ -88,24 +88,22 @@ def paginate(items: DataFrame, order: str, pages_per_part: float | None = None)
     return out.drop("_i").join(sizes, ["job_id", "part"])
 
 
-def jobs_with_children(jobs: DataFrame, frames: DataFrame, logs: DataFrame, frames_per_row: int = 500,
-                       log_rows: int = LOG_ROWS_SHOWN) -> DataFrame:
-    """Jobs with their frames in runs of at most `frames_per_row` and their newest log rows.
-    A job with more frames takes several rows; no array grows with the job."""
-    numbered = ordinal(frames, ["job_id"], [F.col("frame_idx")], span("frame_idx"), name="_i", start=0)
-    runs = (
-        numbered.withColumn("run", F.floor(F.col("_i") / frames_per_row))
-        .groupBy("job_id", "run")
-        .agg(F.array_sort(F.collect_list(F.struct("frame_idx", "name"))).alias("_frames"))
-        .select("job_id", "run", F.transform("_frames", lambda f: f["name"]).alias("frames"))
-    )
-    tail = (
-        newest_logs(logs, log_rows)
-        .groupBy("job_id")
-        .agg(F.array_sort(F.collect_list(F.struct("seq", "stage"))).alias("_logs"))
-        .select("job_id", F.transform("_logs", lambda x: x["stage"]).alias("stages"))
-    )
-    return jobs.join(runs, "job_id", "left").join(tail, "job_id", "left")
+def _in_runs(rows: DataFrame, order: list[str], bucket: Column, size: int, name: str) -> DataFrame:
+    """Rows per job in order, as arrays of structs of at most `size` rows with a run number."""
+    fields = [c for c in rows.columns if c != "job_id"]
+    numbered = ordinal(rows, ["job_id"], [F.col(c) for c in order], bucket, name="_i", start=0)
+    runs = numbered.withColumn("run", F.floor(F.col("_i") / size)).groupBy("job_id", "run")
+    listed = F.array_sort(F.collect_list(F.struct("_i", F.struct(*fields).alias("row"))))
+    return runs.agg(listed.alias("_rows")).select("job_id", "run", F.transform("_rows", lambda x: x["row"]).alias(name))
+
+
+def jobs_with_children(jobs: DataFrame, frames: DataFrame, logs: DataFrame, rows_per_run: int = 500) -> DataFrame:
+    """Jobs with all columns of all their frames (by seconds, frame_idx) and log rows (by
+    seq), in runs of at most `rows_per_run`. A job with more rows takes several rows; no
+    array grows with the job, and a job without rows has one row with no run."""
+    shown = _in_runs(frames, ["seconds", "frame_idx"], span("seconds"), rows_per_run, "frames")
+    told = _in_runs(logs, ["seq"], span("seq"), rows_per_run, "logs")
+    return jobs.join(shown.join(told, ["job_id", "run"], "full"), "job_id", "left")
 
 
 def toggled(events: DataFrame, keys: list[str]) -> DataFrame:

@@ -485,7 +485,7 @@ def topic_estimate(spark, sf_dir):
 
 def _savings(spark, sf_dir):
     jobs = tables.latest(v.jobs(spark, sf_dir), ["job_id"], "version")
-    return metrics.job_savings(jobs, v.logs(spark, sf_dir).filter("stage = 'view'"))
+    return metrics.job_savings(jobs, v.logs(spark, sf_dir))
 
 
 @query
@@ -597,11 +597,14 @@ def job_with_children(spark, sf_dir):
     """Logs of each user as the frames and log lines of one job."""
     jobs = tables.latest(v.jobs(spark, sf_dir), ["job_id"], "version").select("job_id", "state")
     logs = v.logs(spark, sf_dir)
-    frames = logs.filter("stage IN ('view', 'click')").select("job_id", F.col("seq").alias("frame_idx"), F.format_string("frame_%06d.png", "seq").alias("name"))
-    out = tables.jobs_with_children(jobs, frames, logs, frames_per_row=20)
-    return out.select(
-        "job_id", "state", "run", F.array_join("frames", ",").alias("frames"), F.array_join("stages", ",").alias("stages")
-    )
+    frames = logs.select(
+        "job_id", F.col("seq").alias("frame_idx"), F.format_string("frame_%06d.png", "seq").alias("name"),
+        (F.col("seq") % 50).cast("double").alias("seconds"),
+    )
+    out = tables.jobs_with_children(jobs, frames, logs.select("job_id", "seq", "stage"), rows_per_run=20)
+    shown = F.transform("frames", lambda f: F.concat_ws("@", f["name"], f["seconds"].cast("bigint").cast("string")))
+    told = F.transform("logs", lambda x: F.concat_ws(":", x["seq"].cast("string"), x["stage"]))
+    return out.select("job_id", "state", "run", F.array_join(shown, ",").alias("frames"), F.array_join(told, ",").alias("logs"))
 
 
 @query

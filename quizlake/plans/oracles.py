@@ -304,7 +304,7 @@ _CODE = """CASE WHEN regexp_matches(lower(m), 'forbidden|private|members-only|dr
 _TAGS = """tags AS (SELECT d.source AS job_id, d.doc_id, list_filter([CASE quality WHEN 1 THEN ' Clean Prose ' WHEN 0 THEN 'Rough draft' END,
  CASE WHEN toxic = 1 THEN 'Toxic Content' END], lambda t: t IS NOT NULL) AS topics FROM documents d LEFT JOIN labels USING (doc_id))"""
 _KEPT = """saved AS (SELECT job_id, (skipped_blank + skipped_duplicate)::BIGINT AS dropped, coalesce(k, 0) AS kept FROM v_latest
- LEFT JOIN (SELECT job_id, count(*) AS k FROM v_logs WHERE stage = 'view' GROUP BY 1) USING (job_id))"""
+ LEFT JOIN (SELECT job_id, count(*) AS k FROM v_logs GROUP BY 1) USING (job_id))"""
 
 
 def _esc(e: str) -> str:
@@ -349,7 +349,7 @@ _JSON_OPTS = ", ".join(f"CASE WHEN o{x} IS NOT NULL THEN concat('\"{x}\":', to_j
 ORACLES: dict[str, str] = {
     "ocr_words_to_text": _with(rf"""SELECT job_id, frame_idx, coalesce(text, '') AS text,
  round(coalesce(mean, CASE WHEN coalesce(text, '') <> '' THEN 70 ELSE 0 END), 6) AS mean_confidence FROM (
- SELECT job_id, frame_idx, string_agg({_trim('word', DOC)}, ' ' ORDER BY word_no) FILTER (level = 5 AND conf >= 0 AND {_trim('word', DOC)} <> '') AS text,
+ SELECT job_id, frame_idx, string_agg(word, ' ' ORDER BY word_no) FILTER (level = 5 AND conf >= 0) AS text,
   avg(conf) FILTER (level = 5 AND conf >= 0) AS mean FROM (
   SELECT job_id, frame_idx, word_no, word, CASE WHEN word_no % 9 = 8 THEN 4 ELSE 5 END AS level,
    (length(word) * 7 % 101 - CASE WHEN word_no % 11 = 10 THEN 200 ELSE 0 END)::DOUBLE AS conf FROM (
@@ -470,11 +470,11 @@ ORACLES: dict[str, str] = {
  '  <ol class="opts">', {_items('chr(10)')}, '</ol>', chr(10), '</article>') AS html FROM v_bank"""),
     "shuffled_bank": _with(f"""SELECT job_id, q_idx, exam_no, concat('<article class="q"><h2>Question ', exam_no, '</h2><p>', {_esc('stem')}, '</p><ol type="A" class="opts">', {_items("''")}, '</ol></article>') AS html FROM (
  SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY md5(concat('exam:', job_id, ':', q_idx)), q_idx) AS exam_no FROM v_bank)"""),
-    "job_with_children": _with("""SELECT job_id, state, run, frames, stages FROM v_latest
- LEFT JOIN (SELECT job_id, i // 20 AS run, string_agg(printf('frame_%06d.png', seq), ',' ORDER BY seq) AS frames FROM (
-  SELECT job_id, seq, row_number() OVER (PARTITION BY job_id ORDER BY seq) - 1 AS i FROM v_logs WHERE stage IN ('view', 'click')) GROUP BY 1, 2) USING (job_id)
- LEFT JOIN (SELECT job_id, string_agg(stage, ',' ORDER BY seq) AS stages FROM (
-  SELECT * FROM v_logs QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) <= 40) GROUP BY 1) USING (job_id)"""),
+    "job_with_children": _with("""SELECT job_id, state, run, frames, logs FROM v_latest LEFT JOIN (SELECT * FROM (
+ SELECT job_id, i // 20 AS run, string_agg(printf('frame_%06d.png@%d', seq, seq % 50), ',' ORDER BY seq % 50, seq) AS frames FROM (
+  SELECT job_id, seq, row_number() OVER (PARTITION BY job_id ORDER BY seq % 50, seq) - 1 AS i FROM v_logs) GROUP BY 1, 2)
+ FULL JOIN (SELECT job_id, i // 20 AS run, string_agg(concat(seq, ':', stage), ',' ORDER BY seq) AS logs FROM (
+  SELECT job_id, seq, stage, row_number() OVER (PARTITION BY job_id ORDER BY seq) - 1 AS i FROM v_logs) GROUP BY 1, 2) USING (job_id, run)) USING (job_id)"""),
     "recent_jobs": _with("SELECT job_id, version, state FROM v_latest ORDER BY updated_at DESC, job_id LIMIT 10"),
     "recover_interrupted": _with("""SELECT job_id, version, 'failed' AS state, 'Interrupted' AS error_message FROM (
  SELECT * FROM v_latest ORDER BY updated_at DESC, job_id LIMIT 50) WHERE state NOT IN ('done', 'failed', 'fallback_required', 'cancelled')"""),

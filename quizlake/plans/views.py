@@ -33,7 +33,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.format_string("frame_%06d.png", "frame_idx").alias("name"),
         (F.col("frame_idx") - 1).cast("double").alias("seconds"),
         (((F.col("doc_id") * 37) % 100).cast("double") / F.lit(100.0)).alias("change_ratio"),
-        F.when(F.col("doc_id") % 13 != 0, F.col("text")).alias("ocr_text"),
+        F.col("text").alias("ocr_text"),
         (50 + F.col("n_chars") % 51).cast("double").alias("ocr_confidence"),
         F.when(F.col("doc_id") % 7 == 0, F.lit(False))
         .when(F.col("doc_id") % 3 != 0, F.lit(True))
@@ -170,7 +170,7 @@ VIEW_SQL = {
     "v_frames": f"""SELECT job_id, frame_idx, printf('frame_%06d.png', frame_idx) AS name,
  CAST(frame_idx - 1 AS DOUBLE) AS seconds,
  CAST((doc_id * 37) % 100 AS DOUBLE) / CAST(100 AS DOUBLE) AS change_ratio,
- CASE WHEN doc_id % 13 = 0 THEN NULL ELSE text END AS ocr_text,
+ text AS ocr_text,
  CAST(50 + n_chars % 51 AS DOUBLE) AS ocr_confidence,
  CASE WHEN doc_id % 7 = 0 THEN false WHEN doc_id % 3 = 0 THEN NULL ELSE true END AS include_in_pdf
  FROM ({_DUCK_DOCS})""",

@@ -17,7 +17,8 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8) -> SparkSe
         # Text work is heavy per byte: do not fold small inputs into one task.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "20g")
+        .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")

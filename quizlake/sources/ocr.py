@@ -31,17 +31,16 @@ def read_word_tables(spark: SparkSession, path: str) -> DataFrame:
         F.col("word_no").cast("bigint").alias("word_no"),
         F.try_to_number(trim_doc(cells[0]), F.lit("999999")).cast("int").alias("level"),
         cells[10].try_cast("double").alias("conf"),
-        trim_doc(cells[11]).alias("word"),
+        cells[11].alias("word"),
     )
 
 
 def words_to_text(words: DataFrame, keys: tuple[str, ...] = ("job_id", "frame_idx")) -> DataFrame:
     """Text and mean confidence per frame. Only word rows with a non-negative confidence
-    count; blank words count for the mean but not for the text."""
+    count; words are joined as they are, blank ones too."""
     usable = F.coalesce((F.col("level") == WORD_LEVEL) & (F.col("conf") >= 0), F.lit(False))
-    spoken = usable & (trim_doc(F.col("word")) != "")
     grouped = words.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.when(spoken, F.struct("word_no", trim_doc(F.col("word")).alias("w"))))).alias("_w"),
+        F.array_sort(F.collect_list(F.when(usable, F.struct("word_no", F.coalesce("word", F.lit("")).alias("w"))))).alias("_w"),
         F.avg(F.when(usable, F.col("conf"))).alias("_mean"),
     )
     text = F.array_join(F.transform("_w", lambda x: x["w"]), " ")
