@@ -14,9 +14,13 @@ from pyspark.sql import functions as F
 from quizlake.llm.common import stored
 
 
-def _state(links: DataFrame) -> tuple:
-    mark = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-    return tuple(links.agg(F.count(F.lit(1)), mark).first())
+def _is_done(links: DataFrame) -> bool:
+    """Whether the links are stars: every node hangs on one node, which hangs on none."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).union(
+        links.select("b", F.lit(0), F.lit(1))
+    )
+    ends = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return ends.filter("hangs > 1 or (hangs = 1 and holds = 1)").isEmpty()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -24,16 +28,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     that is not the smallest of its component. Directions, repeats and self-links are ignored."""
     links = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct()
     links = stored(links, "links")
-    before = None
-    while True:
+    while not _is_done(links):
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = stored(large.filter("a <> b").distinct(), "links")
+        large = large.filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         links = stored(small.union(low.select("a", F.col("low").alias("b"))).distinct(), "links")
-        now = _state(links)
-        if now == before:
-            return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        before = now
+    return links.select(F.col("a").alias("node"), F.col("b").alias("component"))

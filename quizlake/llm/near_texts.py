@@ -185,39 +185,47 @@ def near_duplicates(
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, x, y = (c.to_pylist() for c in batch.columns)
+            x, y = (c.to_pylist() for c in batch.columns[4:])
             score = [weighted_jaccard(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32), idf.value) for p, q in zip(x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(score, pa.float64())],
-                                             names=["pivot", "member", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(score, pa.float64())],
+                                             names=["pivot", "member", "p_class", "class", "score"])
 
-    links: DataFrame | None = None
+    pair_schema = "pivot bigint, member bigint, p_class bigint, class bigint, score double"
     classes: DataFrame | None = None
     pivots = 1
     while True:
-        order = [F.col("member")]
-        chosen = top_n(members, ["bucket"], order, pivots, F.col("member")) if pivots > 1 else members.groupBy("bucket").agg(
-            F.min_by(F.struct("member", "weight", "class", "far"), "member").alias("m")).select("bucket", "m.*")
+        if pivots == 1:
+            chosen = members.groupBy("bucket").agg(F.min_by(F.struct("member", "weight", "class", "far"), "member").alias("m"))
+            chosen = chosen.select("bucket", "m.*")
+        else:
+            chosen = top_n(members, ["bucket"], [F.col("member")], pivots, F.col("member"))
         chosen = chosen.select("bucket", *[F.col(c).alias(f"p_{c}") for c in ("member", "weight", "class", "far")])
         pairs = members.join(chosen, "bucket").filter("p_member < member and p_class <> class")
         pairs = pairs.filter(F.least("weight", "p_weight") >= similar * F.greatest("weight", "p_weight"))
         pairs = pairs.filter((F.abs(F.col("far") - F.col("p_far")) <= 1 - similar + 1e-9) | F.col("far").isNull() | F.col("p_far").isNull())
-        pairs = pairs.select("p_member", "member").distinct()
+        pairs = pairs.select("p_member", "member", "p_class", "class").distinct()
         pairs = pairs.join(vectors.select(F.col("doc").alias("member"), F.col("vector").alias("y")), "member")
         pairs = pairs.join(vectors.select(F.col("doc").alias("p_member"), F.col("vector").alias("x")), "p_member")
-        scored = stored(pairs.select("p_member", "member", "x", "y").mapInArrow(verify, "pivot bigint, member bigint, score double"), "near-scored")
-        found = scored.filter(F.col("score") >= similar).select("pivot", "member")
-        links = found if links is None else links.unionByName(found)
-        classes = components(links, "pivot", "member")
+        scored = pairs.select("p_member", "member", "p_class", "class", "x", "y").mapInArrow(verify, pair_schema)
+        scored = stored(scored, "near-scored")
+        # Only classes are linked: a class is one node, however many members it has by now.
+        merged = components(scored.filter(F.col("score") >= similar), "p_class", "class")
+        moved = merged.select(F.col("node").alias("class"), F.col("component").alias("to"))
+        if classes is None:
+            classes = merged
+        else:
+            known = classes.withColumnRenamed("component", "class").join(moved, "class", "left")
+            known = known.select("node", F.coalesce("to", "class").alias("component"))
+            classes = stored(known.unionByName(merged), "near-classes")
         # Pivots are done: they have met every member of their group. Groups of one class are too.
-        after = members.join(chosen.select("bucket", F.col("p_member").alias("member"), F.lit(True).alias("done")), ["bucket", "member"], "left")
+        met = chosen.select("bucket", F.col("p_member").alias("member"), F.lit(True).alias("done"))
+        after = members.join(met, ["bucket", "member"], "left").filter("done is null")
         if pivots == 1:
-            start = chosen.select("bucket", "p_member")
-            after = after.join(start, "bucket").join(
-                scored.select(F.col("pivot").alias("p_member"), "member", "score"), ["p_member", "member"], "left"
-            ).withColumn("far", 1 - F.col("score"))
-        after = after.filter("done is null").select("bucket", "member", "weight", "far", "class")
-        after = after.join(classes, F.col("member") == F.col("node"), "left")
-        after = after.select("bucket", "member", "weight", "far", F.coalesce("component", "member").alias("class"))
+            first_of = chosen.select("bucket", "p_member")
+            far = scored.select(F.col("pivot").alias("p_member"), "member", "score")
+            after = after.join(first_of, "bucket").join(far, ["p_member", "member"], "left").withColumn("far", 1 - F.col("score"))
+        after = after.select("bucket", "member", "weight", "far", "class").join(moved, "class", "left")
+        after = after.select("bucket", "member", "weight", "far", F.coalesce("to", "class").alias("class"))
         mixed = after.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("bucket")
         members = stored(after.join(mixed, "bucket", "left_semi"), "near-members")
         if members.isEmpty():
