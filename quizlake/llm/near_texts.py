@@ -8,11 +8,11 @@ groups, and every link is verified by the exact weighted Jaccard similarity.
 *Frequencies* are counted over all texts in a table of fixed size (a shingle's place is the
 head of its hash), and what is rarer than one text in `1 / RARE` weighs as if it were that
 frequent. The table's load per text does not depend on the number of texts.
-*Groups* of candidates are never expanded into pairs. Equal texts are one. Each round compares
-the members of a group with a few pivots of it, members that share the pivot's class already
-are skipped, and so are pairs that the triangle inequality of the Jaccard distance rules out
-(their distances to the group's first pivot differ by more than a link allows). The number of
-pivots grows by four per round until no group has an unsettled pair, so no link is lost.
+*Groups* of candidates are never expanded into pairs of rows. Equal texts are one. First each
+group meets one member of it, which joins most near copies. Groups that still hold several
+classes are cut into tiles of about `TILE_TEXTS` texts, and pairs of tiles are
+compared inside a task, which returns no more links than join their classes. No pair of a
+group is left out, so no link is lost, and what is written is linear in the texts of a tile.
 """
 
 from __future__ import annotations
@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 
 from quizlake.llm.common import WordRows, stored, text_blocks
 from quizlake.llm.components import components
-from quizlake.operators.ranking import top_n
 
 WORDS, SIMILAR = 5, 0.8
 #: A pair of similarity 0.8 shares no band with a probability of (1 - 0.8^3)^12, or 0.0002.
 BANDS, ROWS = 12, 3
 PLACE_BITS, STRIPES = 20, 64
 RARE = 1 / 500
+TILE_TEXTS = 256
 BLOCK = 1 << 20
 
 _rng = np.random.default_rng(7)
@@ -139,6 +139,48 @@ def _numbered(row: np.ndarray) -> np.ndarray:
     return row.astype(np.int64) << np.int64(31) | (n - first)
 
 
+def tile_links(rows: pa.Table, x: np.ndarray, y: np.ndarray, idf: np.ndarray, similar: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the texts numbered `x` and `y` of `rows`, no more than join their classes:
+    the similarities of all pairs are added up shingle by shingle."""
+    vectors = [_numbered(np.frombuffer(v.as_py(), np.uint32)) for v in rows.column("vector")]
+    member, weight = np.array(rows.column("member")), np.array(rows.column("weight"))
+    class_, root = np.unique(np.array(rows.column("class")), return_inverse=True)
+    same = len(x) == len(y) and (x == y).all()
+    if len(class_) == 1:
+        return member[:0], member[:0]
+    key_y = np.concatenate([vectors[i] for i in y])
+    owner = np.repeat(np.arange(len(y)), [len(vectors[i]) for i in y])
+    order = np.argsort(key_y, kind="stable")
+    key_y, owner = key_y[order], owner[order]
+    root = root.tolist()
+
+    def find(k: int) -> int:
+        while root_of[k] != k:
+            root_of[k] = root_of[root_of[k]]
+            k = root_of[k]
+        return k
+
+    root_of = list(range(len(class_)))
+    links: list[tuple[int, int]] = []
+    for at, i in enumerate(x.tolist()):
+        low, high = np.searchsorted(key_y, vectors[i]), np.searchsorted(key_y, vectors[i], "right")
+        n = high - low
+        take = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        rarity = np.repeat(idf[vectors[i] >> np.int64(64 - PLACE_BITS - 1)], n)
+        common = np.bincount(owner[take], rarity, len(y))
+        score = common / (weight[i] + weight[y] - common)
+        for j in np.flatnonzero(score >= similar - 1e-9).tolist():
+            k = int(y[j])
+            a, b = find(root[i]), find(root[k])
+            if a == b or (same and j <= at):
+                continue
+            if weighted_jaccard(*(np.frombuffer(rows.column("vector")[t].as_py(), np.uint32) for t in (i, k)), idf) >= similar:
+                root_of[max(a, b)] = min(a, b)
+                links.append((int(member[i]), int(member[k])))
+    a, b = np.array(links, np.int64).reshape(-1, 2).T
+    return a, b
+
+
 def near_duplicates(
     docs: DataFrame, similar: float = SIMILAR, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -178,59 +220,53 @@ def near_duplicates(
     first = first.join(equal.select(F.col("first").alias("doc")), "doc", "left_semi")
     members = first.select(F.xxhash64("band", "bucket").alias("bucket"), F.col("doc").alias("member"), "weight").distinct()
     wide = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-    members = members.join(wide, "bucket", "left_semi").withColumns({"class": F.col("member"), "far": F.lit(None).cast("double")})
-    members = stored(members, "near-members")
+    members = stored(members.join(wide, "bucket", "left_semi"), "near-members")
     needed = members.select(F.col("member").alias("doc")).distinct()
-    vectors = stored(signed.select("doc", "vector").join(needed, "doc", "left_semi"), "near-vectors")
+    vectors = stored(signed.select("doc", "vector").join(needed.hint("merge"), "doc", "left_semi"), "near-vectors")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (c.to_pylist() for c in batch.columns[4:])
+            x, y = (c.to_pylist() for c in batch.columns[2:])
             score = [weighted_jaccard(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32), idf.value) for p, q in zip(x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(score, pa.float64())],
-                                             names=["pivot", "member", "p_class", "class", "score"])
-
-    pair_schema = "pivot bigint, member bigint, p_class bigint, class bigint, score double"
-    classes: DataFrame | None = None
-    pivots = 1
-    while True:
-        if pivots == 1:
-            chosen = members.groupBy("bucket").agg(F.min_by(F.struct("member", "weight", "class", "far"), "member").alias("m"))
-            chosen = chosen.select("bucket", "m.*")
-        else:
-            chosen = top_n(members, ["bucket"], [F.col("member")], pivots, F.col("member"))
-        chosen = chosen.select("bucket", *[F.col(c).alias(f"p_{c}") for c in ("member", "weight", "class", "far")])
-        pairs = members.join(chosen, "bucket").filter("p_member < member and p_class <> class")
-        pairs = pairs.filter(F.least("weight", "p_weight") >= similar * F.greatest("weight", "p_weight"))
-        pairs = pairs.filter((F.abs(F.col("far") - F.col("p_far")) <= 1 - similar + 1e-9) | F.col("far").isNull() | F.col("p_far").isNull())
-        pairs = pairs.select("p_member", "member", "p_class", "class").distinct()
-        pairs = pairs.join(vectors.select(F.col("doc").alias("member"), F.col("vector").alias("y")), "member")
-        pairs = pairs.join(vectors.select(F.col("doc").alias("p_member"), F.col("vector").alias("x")), "p_member")
-        scored = pairs.select("p_member", "member", "p_class", "class", "x", "y").mapInArrow(verify, pair_schema)
-        scored = stored(scored, "near-scored")
-        # Only classes are linked: a class is one node, however many members it has by now.
-        merged = components(scored.filter(F.col("score") >= similar), "p_class", "class")
-        moved = merged.select(F.col("node").alias("class"), F.col("component").alias("to"))
-        if classes is None:
-            classes = merged
-        else:
-            known = classes.withColumnRenamed("component", "class").join(moved, "class", "left")
-            known = known.select("node", F.coalesce("to", "class").alias("component"))
-            classes = stored(known.unionByName(merged), "near-classes")
-        # Pivots are done: they have met every member of their group. Groups of one class are too.
-        met = chosen.select("bucket", F.col("p_member").alias("member"), F.lit(True).alias("done"))
-        after = members.join(met, ["bucket", "member"], "left").filter("done is null")
-        if pivots == 1:
-            first_of = chosen.select("bucket", "p_member")
-            far = scored.select(F.col("pivot").alias("p_member"), "member", "score")
-            after = after.join(first_of, "bucket").join(far, ["p_member", "member"], "left").withColumn("far", 1 - F.col("score"))
-        after = after.select("bucket", "member", "weight", "far", "class").join(moved, "class", "left")
-        after = after.select("bucket", "member", "weight", "far", F.coalesce("to", "class").alias("class"))
-        mixed = after.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("bucket")
-        members = stored(after.join(mixed, "bucket", "left_semi"), "near-members")
-        if members.isEmpty():
-            break
-        pivots *= 4
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(score, pa.float64())], names=["pivot", "member", "score"])
+
+    # Round one: every group against its first member.
+    pivots = members.groupBy("bucket").agg(F.min_by(F.struct("member", "weight"), "member").alias("p"))
+    pivots = pivots.select("bucket", F.col("p.member").alias("pivot"), F.col("p.weight").alias("p_weight"))
+    pairs = members.join(pivots, "bucket").filter("pivot < member")
+    pairs = pairs.filter(F.least("weight", "p_weight") >= similar * F.greatest("weight", "p_weight"))
+    pairs = pairs.select("pivot", "member").distinct()
+    pairs = pairs.join(vectors.select(F.col("doc").alias("member"), F.col("vector").alias("y")), "member")
+    pairs = pairs.join(vectors.select(F.col("doc").alias("pivot"), F.col("vector").alias("x")), "pivot")
+    scored = pairs.select("pivot", "member", "x", "y").mapInArrow(verify, "pivot bigint, member bigint, score double")
+    scored = stored(scored.filter(F.col("score") >= similar), "near-scored")
+    classes = components(scored, "pivot", "member")
+
+    # Round two: the groups whose members are not of one class yet, in tiles.
+    members = members.join(classes, F.col("member") == F.col("node"), "left")
+    members = stored(members.select("bucket", "member", "weight", F.coalesce("component", "member").alias("class")), "near-members")
+    mixed = (
+        members.groupBy("bucket")
+        .agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n"),
+             F.sum(F.xxhash64("member").cast("decimal(38,0)")).alias("same"))
+        .filter("low <> high")
+        .groupBy("n", "same").agg(F.min("bucket").alias("bucket"), F.first("n").alias("size"))  # equal groups once
+        .select("bucket", "size")
+    )
+    tiled = members.join(mixed, "bucket").withColumn("tile", F.pmod(F.xxhash64("member"), F.ceil(F.col("size") / TILE_TEXTS)))
+    tiled = tiled.join(vectors.select(F.col("doc").alias("member"), "vector"), "member")
+    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("size") / TILE_TEXTS) - 1)))
+    tiled = tiled.withColumns({"i": F.least("tile", "other"), "j": F.greatest("tile", "other")})
+
+    def compare(rows: pa.Table) -> pa.Table:
+        first = np.array(rows.column("tile")) == rows.column("i")[0].as_py()
+        parts = [np.flatnonzero(first), np.flatnonzero(~first) if (~first).any() else np.flatnonzero(first)]
+        found = tile_links(rows, *parts, idf.value, similar)
+        return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
+
+    tiles = tiled.select("bucket", "i", "j", "tile", "member", "weight", "class", "vector").groupBy("bucket", "i", "j")
+    found = stored(tiles.applyInArrow(compare, "a bigint, b bigint"), "near-tiles")
+    classes = components(scored.select("pivot", "member").union(found), "pivot", "member")
     by_text = equal.join(classes, F.col("first") == F.col("node"), "left")
     by_text = by_text.select("one", "two", F.coalesce("component", "first").alias("class_id"))
     own = signed.select("doc", "one", "two", F.col("bands").isNull().alias("bare"))

@@ -138,6 +138,7 @@ def test_near_texts_equal_brute_force(spark, seed):
 
 def test_rounds_settle_groups_of_unlike_members(spark, monkeypatch):
     """One bucket for all: every pair of a group must be settled, and long chains followed."""
+    monkeypatch.setattr(near_texts, "TILE_TEXTS", 7)
     rng = random.Random(9)
     words = [f"w{i}" for i in range(4000)]
     base = [rng.choice(words) for _ in range(120)]
