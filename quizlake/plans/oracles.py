@@ -8,12 +8,25 @@ from __future__ import annotations
 
 import re
 
-from quizlake.functions import text as tx
 from quizlake.plans.views import VIEW_SQL
 
-# RE2 has no vertical tab in \s.
-WEB = tx.WEB_SPACE.replace(r"\s", r"\s\x{0B}")
-DOC = tx.DOC_SPACE.replace(r"\s", r"\s\x{0B}")
+# --- fixed values, stated again so that a wrong one in the library shows --------------
+# White space as the UI language and the text worker see it; RE2 has no vertical tab in \s.
+WEB = r"[\s\x{0B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+DOC = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+NO_GLUE_AFTER = (
+    "a", "an", "the", "of", "in", "on", "at", "to", "for", "and", "or", "nor", "but", "is",
+    "are", "was", "were", "be", "been", "as", "if", "so", "no", "do", "we", "he", "she", "it",
+    "us", "am", "by", "from", "with",
+)
+NO_GLUE_BEFORE = (
+    "and", "or", "but", "which", "who", "whom", "whose", "that", "this", "these", "those",
+    "when", "where", "why", "how", "if", "then", "because", "although", "while", "the", "in",
+    "on", "at", "of", "for", "from", "with", "by", "as", "is", "are", "was", "were", "be",
+    "been", "being", "has", "have", "had", "not", "no", "can", "may", "will", "would", "could",
+    "should",
+)
+# --------------------------------------------------------------------------------------
 
 
 def _trim(expr: str, space: str) -> str:
@@ -326,8 +339,8 @@ _WORD_RUN = r"[\p{L}\p{N}_]+"
 _GLUE = (
     rf"(NOT regexp_matches(l.tail, '^[a-z]{{1,2}}\.{DOC}+') AND regexp_matches(held, '[\p{{L}}\p{{N}}]$') "
     rf"AND regexp_matches(l.tail, '^\p{{Ll}}') AND length(regexp_extract(held, '({_WORD_RUN})$', 1)) < 6 "
-    rf"AND lower(regexp_extract(held, '({_WORD_RUN})$', 1)) NOT IN ({', '.join(repr(w) for w in tx.NO_GLUE_AFTER)}) "
-    rf"AND lower(regexp_extract(l.tail, '^({_WORD_RUN})', 1)) NOT IN ({', '.join(repr(w) for w in tx.NO_GLUE_BEFORE)}))"
+    rf"AND lower(regexp_extract(held, '({_WORD_RUN})$', 1)) NOT IN ({', '.join(repr(w) for w in NO_GLUE_AFTER)}) "
+    rf"AND lower(regexp_extract(l.tail, '^({_WORD_RUN})', 1)) NOT IN ({', '.join(repr(w) for w in NO_GLUE_BEFORE)}))"
 )
 _FLUSH = "CASE WHEN w.buf IS NULL THEN w.done ELSE list_append(w.done, w.buf) END"
 # One step per line of a frame: the finished lines and the open buffer.

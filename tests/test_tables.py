@@ -140,17 +140,30 @@ def test_learner_state_and_metadata(spark):
     assert [r.m.live for r in meta.select(jobs.video_metadata(F.col("r")).alias("m")).collect()] == [True, False]
 
 
-def test_bank_round_trip(spark, tmp_path):
-    questions = spark.createDataFrame([("j", 1, "q1", "stem", {"A": "x"}, 0.5)],
-                                      "job_id string, q_idx bigint, id string, stem string, options map<string,string>, confidence double")
-    sources = spark.createDataFrame([("j", 1, "f2"), ("j", 1, "f1")], "job_id string, q_idx bigint, source_frame string")
-    banks.write_bank(questions, sources, str(tmp_path / "bank"))
-    back = spark.read.json(str(tmp_path / "bank")).first()
-    assert back.sourceFrames == ["f1", "f2"] and back.options.A == "x" and back.job_id == "j"
+def test_bank_round_trip(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(banks, "SOURCES_PER_PART", 3)
+    monkeypatch.setattr(banks, "QUESTIONS_PER_LINE", 2)
+    rows = [("j", i, f"q{i}", f"stem {i}", {"A": "x", "B": str(i)}, 0.123456 * i, ["t"]) for i in range(1, 6)] + [("k", 1, "q1", "s", {}, 0.5, None)]
+    questions = spark.createDataFrame(rows, "job_id string, q_idx bigint, id string, stem string, options map<string,string>, confidence double, topics array<string>")
+    seen = {("j", i, f"f{k:02d}") for i in range(1, 5) for k in range(4 * i)}
+    sources = spark.createDataFrame(sorted(seen), "job_id string, q_idx bigint, source_frame string")
+    shown = {("j", f"f{k:02d}", 0.5 + k, 7 * k) for k in range(11)}
+    frames = spark.createDataFrame(sorted(shown), "job_id string, name string, mean_confidence double, char_count int")
+    path = str(tmp_path / "bank")
+    banks.write_bank(questions, sources, frames, path, "dir")
+    got = {(r.job_id, r.q_idx): r for r in banks.read_banks(spark, path).collect()}
+    assert len(got) == 6
+    for job, i, id_, stem, options, confidence, topics in rows:
+        r = got[job, i]
+        assert (r.id, r.stem, r.options, r.confidence, r.topics) == (id_, stem, options, round(confidence, 4), topics)
+    assert {tuple(r) for r in banks.read_bank_sources(spark, path).collect()} == seen
+    assert {tuple(r) for r in banks.read_bank_frames(spark, path).collect()} == shown
+    lines = spark.read.json(path).collect()
+    assert {(r.version, r.framesDir) for r in lines} == {(1, "dir")} and max(len(r.questions) for r in lines) <= 2
     folder = tmp_path / "banks" / "j9"
     folder.mkdir(parents=True)
-    (folder / "b.json").write_text('{"version":1,"questions":[{"id":"q1","stem":"s","options":{"A":"x"},"sourceFrames":["f"],"confidence":0.4}]}')
-    row = banks.read_banks(spark, str(tmp_path / "banks" / "*" / "*.json")).first()
+    (folder / "b.json").write_text('{"version":1,"questions":[\n{"id":"x","stem":"s","options":{"A":"x"},"sourceFrames":["f"],"confidence":0.4}]}')
+    row = banks.read_banks(spark, str(tmp_path / "banks"), one_per_file=True).first()
     assert (row.job_id, row.q_idx, row.stem, row.options) == ("j9", 1, "s", {"A": "x"})
 
 
