@@ -1,34 +1,72 @@
 """Toxicity by a chain of linear classifiers.
 
-Categories are predicted one after another; the model of a category sees the words of a text
-and the probabilities of the categories before it. What a later model is trained on are
+Categories are predicted one after another; the model of a category sees the words of a text,
+the beginnings of its words (stems whose endings change), how often either occurs, and the
+probabilities of the categories before it. What a later model is trained on are
 out-of-fold probabilities (each fold is predicted by a model that has not seen it), so it
 learns how far the earlier predictions can be trusted; when texts are scored, the earlier
-models are those fitted on the whole sample.
+models are those fitted on the whole sample. The cut of a category is set on its out-of-fold
+probabilities, and probabilities are moved so that it lies at 0.5.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, VectorAssembler
+from pyspark.ml.feature import Binarizer, CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quizlake.llm.common import stored
 
 SAMPLE, FOLDS = 20_000, 3
-#: Words of at least this share of the sampled texts are features; the vocabulary has a fixed bound.
-LEAST_SHARE, VOCABULARY = 0.01, 20_000
+#: A word, or a beginning of one, is a feature if at least so many sampled texts hold it and its
+#: labels are so many standard deviations from what chance gives; the most telling ones count.
+LEAST_TEXTS, TELLING, VOCABULARY = 3, 4.0, 20_000
+#: Lengths of beginnings, and the numbers of occurrences from which a feature of its own is set.
+PREFIXES, TIMES = (4, 6), (1, 2, 4)
 #: Labels are noisy: an L1 penalty drops the words that go with a label by chance.
-PENALTY, STEPS = 0.05, 25
+PENALTY, STEPS = 0.01, 25
 WORDS = r"[^\p{L}\p{M}\p{N}]+"
 
 
 def _words(docs: DataFrame, text: str) -> DataFrame:
-    return docs.withColumn("_tokens", F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), WORDS))
+    """`docs` with the words of a text and their beginnings, marked by a sign no word holds."""
+    docs = docs.withColumn("_whole", F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), WORDS), ""))
+    return docs.withColumn("_tokens", F.concat("_whole", *[_starts(n) for n in PREFIXES])).drop("_whole")
+
+
+def _starts(n: int) -> Column:
+    longer = F.filter("_whole", lambda w: F.length(w) > n)
+    return F.transform(longer, lambda w: F.concat(F.substring(w, 1, n), F.lit("-")))
+
+
+def _telling(taught: DataFrame, categories: list[str]) -> list[str]:
+    """The vocabulary: tokens whose texts have other labels than chance would give."""
+    n, *ones = taught.agg(F.count(F.lit(1)), *[F.sum(f"_y_{c}") for c in categories]).first()
+    times = taught.select("_key", *[f"_y_{c}" for c in categories], F.explode("_tokens").alias("token"))
+    times = times.groupBy("_key", "token", *[f"_y_{c}" for c in categories]).agg(F.count(F.lit(1)).alias("times"))
+    times = times.withColumn("level", F.explode(F.array(*[F.when(F.col("times") >= k, F.lit(k)) for k in TIMES]))).filter("level is not null")
+    found = times.groupBy("token", "level").agg(F.count(F.lit(1)).alias("texts"), *[F.sum(f"_y_{c}").alias(f"_y_{c}") for c in categories])
+    found = found.filter(F.col("texts") >= LEAST_TEXTS)
+    shares = {c: y / n for c, y in zip(categories, ones, strict=True) if 0 < y < n}
+    if not shares:
+        return []
+    far = [F.abs(F.col(f"_y_{c}") - F.col("texts") * p) / F.sqrt(F.col("texts") * p * (1 - p)) for c, p in shares.items()]
+    found = found.groupBy("token").agg(F.max(F.greatest(*far, F.lit(0.0))).alias("far")).filter(F.col("far") >= TELLING)
+    return [r.token for r in found.orderBy(F.desc("far"), "token").limit(VOCABULARY).collect()]
+
+
+def _counted(words: CountVectorizerModel, rows: DataFrame) -> DataFrame:
+    """`rows` with `_words`: per token of the vocabulary and number of `TIMES`, whether it occurs so often."""
+    rows = words.transform(rows)
+    for k in TIMES:
+        rows = Binarizer(threshold=k - 0.5, inputCol="_counts", outputCol=f"_from_{k}").transform(rows)
+    parts = [f"_from_{k}" for k in TIMES]
+    return VectorAssembler(inputCols=parts, outputCol="_words").transform(rows).drop("_tokens", "_counts", *parts)
 
 
 def _assembled(rows: DataFrame, before: list[str]) -> DataFrame:
@@ -36,19 +74,34 @@ def _assembled(rows: DataFrame, before: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=parts, outputCol="_features", handleInvalid="keep").transform(rows)
 
 
-def _with_probability(rows: DataFrame, model: LogisticRegressionModel, name: str) -> DataFrame:
+def _with_probability(rows: DataFrame, model: LogisticRegressionModel, name: str, cut: float = 0.0) -> DataFrame:
+    """`rows` with `_p_<name>`; `cut` is the log-odds that count as 0.5."""
     model = model.setFeaturesCol("_features").setProbabilityCol("_probability").setPredictionCol("_prediction")
     rows = model.setRawPredictionCol("_raw").transform(rows)
-    chance = vector_to_array("_probability")
+    odds = vector_to_array("_raw")
     # A sample of one class gives a model with one known answer.
-    chance = F.when(F.size(chance) > 1, chance[1]).otherwise(F.lit(0.0))
+    chance = F.when(F.size(odds) > 1, 1 / (1 + F.exp(F.lit(cut) - odds[1]))).otherwise(F.lit(0.0))
     return rows.withColumn(f"_p_{name}", chance).drop("_features", "_probability", "_prediction", "_raw")
 
 
+def _best_cut(held_out: DataFrame, name: str) -> float:
+    """Log-odds in the middle between the two held-out texts where the F1 measure is best."""
+    rows = held_out.select(f"_p_{name}", f"_y_{name}").toPandas().to_numpy(np.float64)
+    rows = rows[np.argsort(-rows[:, 0], kind="stable")]
+    chance = np.clip(rows[:, 0], 1e-9, 1 - 1e-9)
+    true, ones = np.cumsum(rows[:, 1]), rows[:, 1].sum()
+    last = np.append(chance[1:] != chance[:-1], True)  # equal texts fall on one side
+    best = int(np.where(last, 2 * true / (np.arange(len(rows)) + 1 + ones), -1.0).argmax())
+    odds = np.log(chance / (1 - chance))
+    if ones in (0, len(rows)) or best + 1 == len(rows):
+        return 0.0
+    return float((odds[best] + odds[best + 1]) / 2)
+
+
 class Chain:
     """Fitted models of `categories`, in chain order."""
 
-    def __init__(self, categories: list[str], words: CountVectorizerModel | None, models: list[LogisticRegressionModel]):
+    def __init__(self, categories: list[str], words: CountVectorizerModel | None, models: list[tuple[LogisticRegressionModel, float]]):
         self.categories, self.words, self.models = categories, words, models
 
     def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
@@ -56,10 +109,10 @@ class Chain:
         Without a labelled sample all probabilities are 0."""
         if self.words is None:
             return reduce(lambda d, c: d.withColumn(f"_p_{c}", F.lit(0.0)), self.categories, docs)
-        rows = self.words.transform(_words(docs, text))
-        for i, (name, model) in enumerate(zip(self.categories, self.models, strict=True)):
-            rows = _with_probability(_assembled(rows, self.categories[:i]), model, name)
-        return rows.drop("_tokens", "_words")
+        rows = _counted(self.words, _words(docs, text))
+        for i, (name, (model, cut)) in enumerate(zip(self.categories, self.models, strict=True)):
+            rows = _with_probability(_assembled(rows, self.categories[:i]), model, name, cut)
+        return rows.drop("_words")
 
 
 def fit(
@@ -74,8 +127,8 @@ def fit(
     """Fit the chain on at most about `sample` labelled documents, picked by a hash of the key.
 
     `labels` holds the key and one 0/1 column per category; rows with a null in any of them,
-    or without a document, teach nothing. The vocabulary is the words of at least
-    `LEAST_SHARE` of the sampled texts, `VOCABULARY` at most."""
+    or without a document, teach nothing. The vocabulary is the tokens that tell a label
+    (`_telling`), `VOCABULARY` at most."""
     full = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [key, *categories]])
     one = [F.max(F.col(c).cast("double")).alias(f"_y_{c}") for c in categories]
     marks = labels.filter(full).groupBy(F.col(key).alias("_key")).agg(*one)
@@ -89,20 +142,26 @@ def fit(
     taught = stored(_words(taught, "_text").drop("_text").coalesce(8), "toxicity-sample")
     if taught.isEmpty():
         return Chain(categories, None, [])
-    counter = CountVectorizer(inputCol="_tokens", outputCol="_words", binary=True, minDF=LEAST_SHARE, vocabSize=VOCABULARY)
-    words = counter.fit(taught)
-    taught = words.transform(taught).drop("_tokens").persist()
+    # Without a telling token the models have a feature that is never set.
+    words = CountVectorizerModel.from_vocabulary(_telling(taught, categories) or ["-"], "_tokens", "_counts")
+    taught = _counted(words, taught).persist()
     models = []
     try:
         for i, name in enumerate(categories):
             rows = _assembled(taught, categories[:i])
-            models.append(_linear(rows, name))
-            if i + 1 < len(categories):
-                held_out = [
-                    _with_probability(rows.filter(F.col("_fold") == f), _linear(rows.filter(F.col("_fold") != f), name), name)
-                    for f in range(folds)
-                ]
-                taught = stored(reduce(DataFrame.unionByName, held_out), "toxicity-folds").coalesce(8)
+            model = _linear(rows, name)
+            held_out = [
+                _with_probability(rows.filter(F.col("_fold") == f), _linear(rows.filter(F.col("_fold") != f), name), name)
+                for f in range(folds)
+            ]
+            held_out = stored(reduce(DataFrame.unionByName, held_out), "toxicity-folds").coalesce(8)
+            cut = _best_cut(held_out, name)
+            models.append((model, cut))
+            # Moved as in `score`: odds times a factor.
+            odds = F.col(f"_p_{name}") / (1 - F.col(f"_p_{name}")) * float(np.exp(-cut))
+            moved = F.when(F.col(f"_p_{name}") < 1, odds / (1 + odds)).otherwise(F.lit(1.0))
+            taught.unpersist()
+            taught = held_out.withColumn(f"_p_{name}", moved).persist()
     finally:
         taught.unpersist()
     return Chain(categories, words, models)

@@ -165,3 +165,29 @@ def test_rounds_settle_groups_of_unlike_members(spark, monkeypatch):
                 a, b = sorted((low[i], low[j]))
                 low = [a if v == b else v for v in low]
     assert got == dict(enumerate(low))
+
+
+def test_toxic_stems_and_single_insults(spark):
+    """Stems whose endings change, in a language of its own, and one insult in a long text."""
+    rng = random.Random(6)
+    insults = ["moron", "clown", "loser", "scum", "idiot"]
+    rows, labels = [], []
+    for i in range(900):
+        toxic, german = i % 8 == 0, i % 2 == 0
+        if i % 16 == 8:
+            words = prose(rng, ENGLISH, 40).split() + rng.sample(insults, rng.randint(1, 3))
+        else:
+            words = prose(rng, GERMAN if german else ENGLISH, 40).split()
+            if toxic:  # each whole word is in very few texts
+                words += ["achlich" + "".join(rng.choice("abcdefghik") for _ in range(3)) for _ in range(3)]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        if i < 700:
+            labels.append((i, 0, int(toxic)))
+    rows += [(1000 + k, prose(rng, ENGLISH, 300) + f" {word} " + prose(rng, ENGLISH, 300)) for k, word in enumerate(insults)]
+    rows += [(1100, prose(rng, ENGLISH, 600)), (1101, prose(rng, GERMAN, 600))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    chain = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id bigint, poor int, toxic int"), ["poor", "toxic"])
+    got = {r.doc_id for r in chain.score(docs).filter("_p_toxic >= 0.5").collect()}
+    assert {i for i in got if 700 <= i < 900} == {i for i in range(700, 900) if i % 8 == 0}
+    assert {i for i in got if i >= 1000} == {1000 + k for k in range(len(insults))}
