@@ -7,7 +7,10 @@ groups, and every link is verified by the exact weighted Jaccard similarity.
 
 *Frequencies* are counted over all texts in a table of fixed size (a shingle's place is the
 head of its hash), and what is rarer than one text in `1 / RARE` weighs as if it were that
-frequent. The table's load per text does not depend on the number of texts.
+frequent. The rarest shingle weighs `1 + SPREAD` times the most frequent one: copies count in
+the frequencies, so with a wide range the shingles of a large group would weigh little, edits
+much, and its near copies would not link. The table's load per text does not depend on the
+number of texts.
 *Groups* of candidates are never expanded into pairs of rows. Equal texts are one. First each
 group meets one member of it, which joins most near copies. Groups that still hold several
 classes are cut into tiles of about `TILE_TEXTS` texts, and pairs of tiles are
@@ -34,6 +37,8 @@ WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 12, 3
 PLACE_BITS, STRIPES = 20, 64
 RARE = 1 / 500
+#: How much more the rarest shingle weighs than one that all texts hold.
+SPREAD = 0.1
 TILE_TEXTS = 256
 BLOCK = 1 << 20
 
@@ -68,7 +73,7 @@ def shingles(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Inverse document frequency per place; the table has 2^20 places at any size."""
+    """Inverse document frequency per place, from 1 to 1 + `SPREAD`; the table has 2^20 places at any size."""
     size, width = 1 << PLACE_BITS, (1 << PLACE_BITS) // STRIPES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +105,9 @@ def frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
         return np.zeros(size)
     counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in rows])
     texts = rows[0]["texts"]
-    return np.log1p(texts / np.maximum(counts, max(1.0, texts * RARE)))
+    rarity = np.log1p(texts / np.maximum(counts, max(1.0, texts * RARE)))
+    least, most = np.log1p(1.0), np.log1p(1 / RARE)
+    return 1 + SPREAD * (rarity - least) / (most - least)
 
 
 def signature(row: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, float]:

@@ -191,3 +191,15 @@ def test_toxic_stems_and_single_insults(spark):
     got = {r.doc_id for r in chain.score(docs).filter("_p_toxic >= 0.5").collect()}
     assert {i for i in got if 700 <= i < 900} == {i for i in range(700, 900) if i % 8 == 0}
     assert {i for i in got if i >= 1000} == {1000 + k for k in range(len(insults))}
+
+
+def test_near_copy_of_a_text_in_a_third_of_the_rows(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(5000)]
+    base = [rng.choice(words) for _ in range(100)]
+    near = [*base[:50], "changed", *base[51:]]
+    texts = [" ".join(near)] + [" ".join(base)] * 300 + [prose(rng, words, 100) for _ in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = near_texts.near_duplicates(df)
+    assert sorted(r.doc_id for r in got.filter("class_id = 0").collect()) == list(range(301))
+    assert got.filter("kept").count() == 601
