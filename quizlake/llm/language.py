@@ -79,6 +79,10 @@ class Filter:
         return bits**LOOKUPS
 
     def predict(self, texts: list[str], chance: np.ndarray) -> tuple[list[str], np.ndarray]:
+        return self.judge(texts, chance)[:2]
+
+    def judge(self, texts: list[str], chance: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score and number of n-grams of every text."""
         hashes, text, some = grams(texts)
         mask = np.full(len(hashes), np.uint64(2**64 - 1))
         for slot in slots(hashes):
@@ -92,7 +96,7 @@ class Filter:
         best = real.argmax(0)  # ties: the language with more sampled texts
         score = np.where(total > 0, real.max(0) / np.maximum(total, 1), 0.0)
         names = [self.languages[b] if s else NONE for b, s in zip(best.tolist(), some.tolist(), strict=True)]
-        return names, np.where(some, np.clip(score, 0, 1), 0.0)
+        return names, np.where(some, np.clip(score, 0, 1), 0.0), total
 
 
 def learn(
@@ -147,25 +151,29 @@ def learn(
 
 
 def predicted(docs: DataFrame, known: Filter, text: str = "text") -> Column:
-    """Struct (lang, score) of every whole text: a learned language, or `und` if the text is
+    """Struct (lang, score, grams) of every whole text: a learned language, or `und` if the text is
     null, has no letter, or nothing was learned. The score is the share of the text's n-grams
-    that the language holds, between 0 and 1."""
+    that the language holds, between 0 and 1; `grams` is the number of the text's n-grams."""
     shared = docs.sparkSession.sparkContext.broadcast((known, known.chance()))
 
-    @F.arrow_udf("struct<lang: string, score: double>")
+    @F.arrow_udf("struct<lang: string, score: double, grams: bigint>")
     def predict(column: pa.Array) -> pa.Array:
         filters, chance = shared.value
         names: list[str] = []
         scores: list[np.ndarray] = [np.zeros(0)]
+        sizes: list[np.ndarray] = [np.zeros(0, np.int64)]
         for block in text_blocks(column, BLOCK):
             texts = block.to_pylist()
             if not filters.languages:
                 names += [NONE] * len(texts)
                 scores.append(np.zeros(len(texts)))
+                sizes.append(np.zeros(len(texts), np.int64))
                 continue
-            some, score = filters.predict(texts, chance)
+            some, score, size = filters.judge(texts, chance)
             names += some
             scores.append(score)
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores))], ["lang", "score"])
+            sizes.append(size)
+        columns = [pa.array(names, pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(sizes), pa.int64())]
+        return pa.StructArray.from_arrays(columns, ["lang", "score", "grams"])
 
     return predict(F.col(text))

@@ -16,15 +16,18 @@ from quizlake.llm.queries import BYTE_VOCABULARY, TOXIC_CHAIN, toxicity_labels
 
 #: A text is no text of a learned language if fewer of its n-grams than this belong to one.
 LEAST_SCORE = 0.2
+#: With fewer n-grams than this a low score is no evidence.
+LEAST_GRAMS = 40
 TOXIC = 0.5
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language: null texts, texts without a letter and texts that
-    fit no language go."""
+    fit no language go; a text too short to tell stays."""
     known = language.learn(docs)
     found = docs.withColumn("_language", language.predicted(docs, known))
-    fits = (F.col("_language.lang") != language.NONE) & (F.col("_language.score") >= LEAST_SCORE)
+    fits = (F.col("_language.score") >= LEAST_SCORE) | (F.col("_language.grams") < LEAST_GRAMS)
+    fits = (F.col("_language.lang") != language.NONE) & fits
     return found.filter(fits).select(*_names(docs))
 
 

@@ -77,3 +77,12 @@ def test_near_stage_keeps_rows_without_id(spark, tmp_path):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f")], "doc_id bigint, text string")
     got = [r.doc_id for r in stages.one_of_near_texts(spark, df, str(tmp_path)).orderBy(F.col("doc_id").asc_nulls_last()).collect()]
     assert got == [1, None]
+
+
+def test_language_stage_keeps_texts_too_short_to_tell(spark, tmp_path):
+    rows = [(i, "the people with their other words " * 5, "en") for i in range(60)]
+    rows += [(100, "A.", "en"), (101, "Re.", "en"), (102, "De", None), (103, "zyxwvut", "en"), (104, "12 --", "en"), (105, None, "en")]
+    rows += [(106, "zyxwvut qponmlk jihgfed " * 20, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r.doc_id for r in stages.by_language(spark, df, str(tmp_path)).collect()}
+    assert got == {*range(60), 100, 101, 102, 103}
