@@ -2,12 +2,14 @@
 
 Both pre-tokenizers in use cut a text into units that look no further than the next white
 space, so the ids of a text are the ids of its words in a row. A text with other white space
-than single spaces (or single line ends inside words) is encoded whole by the library.
+than single spaces (or single line ends inside words), or with the string of an added token
+(`<|endoftext|>`), is encoded whole by the library.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,15 +29,17 @@ MARK = "\x01"
 
 
 class WordIds:
-    """Encoder of one vocabulary file, without special tokens: their strings in a text are
-    ordinary text. Words new to the memory are encoded together, joined by spaces, and cut
+    """Encoder of one vocabulary file: the ids of the library as it is, which adds no special
+    tokens but knows their strings in a text. Words new to the memory are encoded together, joined by spaces, and cut
     apart again at tokens that begin with a space, or at a mark between them."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = lib = Tokenizer.from_file(path)
-        lib.encode_special_tokens = True
         self.by_bytes = lib.normalizer is None
+        # Case aside, as a normalizer may change it before the library looks for them.
+        added = [re.escape(t.content) for t in lib.get_added_tokens_decoder().values()]
+        self.odd = "|".join([RUNS if self.by_bytes else ODD_SPACE, *(f"(?i:{t})" for t in added)])
         if self.by_bytes:
             space = lib.encode(" ", add_special_tokens=False).tokens[0]
             self.cut = np.zeros(lib.get_vocab_size(), bool)
@@ -95,7 +99,7 @@ class WordIds:
     def encode_all(self, column: pa.Array) -> Iterator[np.ndarray]:
         """Ids of every text of an Arrow column."""
         for block in text_blocks(column):
-            odd = pc.match_substring_regex(block, RUNS if self.by_bytes else ODD_SPACE)
+            odd = pc.match_substring_regex(block, self.odd)
             plain = pc.if_else(odd, "", block)
             rows = WordRows(pc.split_pattern(plain, " ") if self.by_bytes else words_between(plain))
             ids = self._ids_of(rows.words)

@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from quizlake.llm import packing, piece_codec, token_files
 from quizlake.llm.common import scratch, stored
@@ -131,3 +132,12 @@ def test_plan_is_close_to_the_bound(seed):
     assert sorted(p[2] for p in places) == sorted(lengths.tolist()) and max(large.values()) <= 2
     assert check_places(places, 1024) <= 1.02 * lengths.sum() / 1024 + 2
     assert len(packing.plan({})) == 0
+
+
+@pytest.mark.parametrize("path", [BYTE_VOCABULARY, WORD_VOCABULARY])
+def test_strings_of_added_tokens_as_in_a_fresh_library(path):
+    some = ["a <|endoftext|> b", "x<|endoftext|>y", "<|startoftext|>", "a <|STARTOFTEXT|> B", "<|endoftext|", "plain words", None]
+    fresh = Tokenizer.from_file(path)
+    for text, ids in zip(some, word_ids(path).encode_all(pa.array(some, pa.string())), strict=True):
+        assert ids.tolist() == fresh.encode(text or "", add_special_tokens=False).ids, text
+    assert fresh.get_vocab()["<|endoftext|>"] in next(word_ids(path).encode_all(pa.array(some[:1]))).tolist()
