@@ -139,7 +139,8 @@ def fit(
     taught = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     # The sample's keys have a fixed bound, so they may be broadcast.
     taught = taught.join(F.broadcast(marks), "_key").withColumn("_fold", F.pmod(F.xxhash64("_key"), F.lit(folds)))
-    taught = stored(_words(taught, "_text").drop("_text").coalesce(8), "toxicity-sample")
+    # Only the sample is dealt anew; the scan of all texts keeps its tasks.
+    taught = stored(_words(taught.repartition(8), "_text").drop("_text"), "toxicity-sample")
     if taught.isEmpty():
         return Chain(categories, None, [])
     # Without a telling token the models have a feature that is never set.
