@@ -2,17 +2,35 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizlake.llm import language, maxscore, near_texts, near_vectors, packing, piece_codec, suffixes, token_files, toxicity, warc
+from quizlake.llm import (
+    byte_codec,
+    language,
+    maxscore,
+    merkle,
+    near_texts,
+    near_vectors,
+    packing,
+    piece_codec,
+    quantizer,
+    suffixes,
+    token_files,
+    toxicity,
+    warc,
+)
 from quizlake.llm.common import scratch, stored, table
+from quizlake.llm.oracles import merkle_sql, quantizer_sql
 from quizlake.llm.word_ids import word_ids
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,6 +120,38 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_byte_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = byte_codec.coded(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_quantizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = quantizer.fit(table(spark, sf_dir, "embeddings"))
+    rows = quantizer.label_errors(codes.rows(), "label")
+    books = F.sha2(F.lit(codes.text()), 256).alias("codebooks_sha256")
+    return rows.select("vec_id", "code", "error", "label_error", books)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    picked = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    found = merkle.manifest(
+        docs, ["doc_id", "source", "lang", "n_chars", "text"], tampered={"text": F.when(picked, lowered).otherwise(F.col("text"))})
+    folded = found.withColumn("folded_root", merkle.folded(F.col("tampered_leaf"), F.col("path")))
+    return folded.select(
+        "doc_id", "leaf", "subroot", "root",
+        F.sha2(merkle.proof(F.col("path")), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES = {
     "op1_maxscore": op1_maxscore,
     "op2_piece_codec": op2_piece_codec,
@@ -113,6 +163,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_token_files": op10_token_files,
+    "op11_byte_codec": op11_byte_codec,
+    "op12_quantizer": op12_quantizer,
+    "op13_merkle": op13_merkle,
 }
 
 _VECTORS = """SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
@@ -140,4 +193,6 @@ ORACLES: dict[str, str] = {
  SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM w""",
+    "op12_quantizer": quantizer_sql(),
+    "op13_merkle": merkle_sql(),
 }
