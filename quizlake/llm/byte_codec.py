@@ -18,12 +18,15 @@ from __future__ import annotations
 
 import base64
 import heapq
+import sys
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -38,38 +41,89 @@ KEPT, LONG = 250_000, 64
 BLOCK_BYTES = 4 << 20
 
 
+@lru_cache(2)
+def newer_letters(pattern: str) -> dict[str, str]:
+    """Letters (L) and numbers (N) of Python's `regex` that the library's older Unicode does not
+    have, as ranges of a character set. It is asked about those alone that Python's own
+    tables do not have either: is such a character kept together with one of its class?"""
+    everything = "".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+    found = {}
+    for kind, first in (("L", "a"), ("N", "1")):
+        new = [c for c in regex.findall(rf"\p{{{kind}}}", everything) if unicodedata.category(c) == "Cn"]
+        ranks = {bytes([b]): b for b in range(256)} | {(first + c).encode(): 256 + i for i, c in enumerate(new)}
+        library = tiktoken.Encoding("pairs", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        spans: list[list[int]] = []
+        for c in new:
+            if len(library.encode_ordinary(first + c)) > 1:
+                if spans and spans[-1][1] == ord(c) - 1:
+                    spans[-1][1] = ord(c)
+                else:
+                    spans.append([ord(c), ord(c)])
+        found[kind] = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans)
+    return found
+
+
+class Splitter:
+    """Pre-tokens of texts as the library cuts them."""
+
+    def __init__(self, pattern: str, newer: dict[str, str]):
+        # The library's idea of white space is Unicode's; Python adds some control characters.
+        pattern = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
+        self.find = self.exact = regex.compile(pattern).findall
+        self.newer = np.zeros(sys.maxunicode + 1, bool)
+        for kind, spans in newer.items():
+            if spans:
+                pattern = pattern.replace(rf"\p{{{kind}}}", rf"[\p{{{kind}}}--[{spans}]]")
+                for a, b in regex.findall(r"U(\w{8})-\\U(\w{8})", spans):
+                    self.newer[int(a, 16) : int(b, 16) + 1] = True
+        if self.newer.any():
+            self.exact = regex.compile(pattern, regex.V1).findall
+
+    def __call__(self, text: str) -> list[str]:
+        if not text.isascii():
+            codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            if self.newer[codes].any():
+                return self.exact(text)
+        return self.find(text)
+
+
 class ByteCodec:
     """Encoder and decoder of one file of ranks (lines of base64 bytes and rank)."""
 
-    def __init__(self, ranks: str, pattern: str):
+    def __init__(self, ranks: str, pattern: str, newer: dict[str, str]):
         with open(ranks, "rb") as lines:
             pairs = [line.split() for line in lines if line.strip()]
-        self.rank = {base64.b64decode(token): int(r) for token, r in pairs}
-        # The library's idea of white space is Unicode's; Python adds some control characters.
-        self.find = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        size = max(self.rank.values()) + 1
+        self.rank = rank = {base64.b64decode(token): int(r) for token, r in pairs}
+        self.split = Splitter(pattern, newer)
+        size = max(rank.values()) + 1
+        self.size = np.int64(size)
         self.token = [b""] * size
-        for token, r in self.rank.items():
+        for token, r in rank.items():
             self.token[r] = token
-        self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int64)
-        self.size = np.int64(size)
+        self.lengths = np.fromiter(map(len, self.token), np.int64, size)
+        self.places = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(self.token), np.uint8)
+        self.byte = np.array([rank[bytes([b])] for b in range(256)], np.int64)
         # Every way to put a token together from two, as left * size + right.
         made = [
-            (self.rank[token[:i]] * size + self.rank[token[i:]], r)
-            for token, r in self.rank.items()
+            (rank[token[:i]] * size + rank[token[i:]], r)
+            for token, r in rank.items()
             for i in range(1, len(token))
-            if token[:i] in self.rank and token[i:] in self.rank
+            if token[:i] in rank and token[i:] in rank
         ]
         made = np.array(sorted(made), np.int64).reshape(-1, 2)
         self.pair, self.made = made[:, 0].copy(), made[:, 1].copy()
+        two = np.arange(1 << 16)
+        self.bigram = self._ranks(self.byte[two >> 8] * size + self.byte[two & 255])
         self.kept: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def boundaries(self, text: str) -> np.ndarray:
         """Ends of the pre-tokens of a text."""
-        return np.cumsum([len(t) for t in self.find.findall(text)], dtype=np.int64)
+        return np.cumsum([len(t) for t in self.split(text)], dtype=np.int64)
 
     def _ranks(self, pairs: np.ndarray) -> np.ndarray:
+        """Ranks of what pairs make; `size` for those that make no token."""
         at = np.minimum(np.searchsorted(self.pair, pairs), len(self.pair) - 1)
         return np.where(self.pair[at] == pairs, self.made[at], self.size)
 
@@ -77,26 +131,37 @@ class ByteCodec:
         """Ids of pieces of at most `LONG` bytes: in each turn the lowest-ranked pair of every
         piece, the leftmost among equals, becomes one token."""
         done: list[bytes] = [b""] * len(pieces)
+        size = self.size
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        ids = self.byte[np.frombuffer(b"".join(pieces), np.uint8)]
-        name = np.arange(len(pieces))
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        ids, name = self.byte[raw], np.arange(len(pieces))
+        # The rank of each id with the next one; none across pieces.
+        ranks = np.append(self.bigram[(raw[:-1].astype(np.int64) << 8) | raw[1:]], size) if len(raw) else ids
+        if len(name):
+            ranks[np.cumsum(sizes) - 1] = size
         while len(name):
             ends = np.cumsum(sizes)
-            ranks = np.full(len(ids), self.size)
-            ranks[:-1] = self._ranks(ids[:-1] * self.size + ids[1:])
-            ranks[ends - 1] = self.size  # no pair across pieces
             least = np.minimum.reduceat(ranks, ends - sizes)
-            still = least < self.size
-            flat = ids.astype(np.uint32).tobytes()
-            for i in np.flatnonzero(~still).tolist():
-                done[name[i]] = flat[4 * (ends[i] - sizes[i]) : 4 * ends[i]]
-            hits = np.flatnonzero((ranks == np.repeat(least, sizes)) & (ranks < self.size))
+            still = least < size
+            if not still.all():
+                flat, stops, starts = ids.astype(np.uint32).tobytes(), (4 * ends).tolist(), (4 * (ends - sizes)).tolist()
+                for i in np.flatnonzero(~still).tolist():
+                    done[name[i]] = flat[starts[i] : stops[i]]
+            hits = np.flatnonzero((ranks == np.repeat(least, sizes)) & (ranks < size))
             owner = np.searchsorted(ends, hits, "right")
-            hits = hits[np.append(True, owner[1:] != owner[:-1])] if len(hits) else hits
-            ids[hits] = ranks[hits]
+            first = np.append(True, owner[1:] != owner[:-1]) if len(hits) else np.zeros(0, bool)
+            hits, owner = hits[first], owner[first]
+            ids[hits] = least[owner]
+            ranks[hits] = ranks[hits + 1]  # whether there is a pair is what its right half knew
             keep = np.repeat(still, sizes)
             keep[hits + 1] = False
-            ids, sizes, name = ids[keep], sizes[still] - 1, name[still]
+            place = np.cumsum(keep) - 1
+            ids, ranks, sizes, name = ids[keep], ranks[keep], sizes[still] - 1, name[still]
+            hits, ends = place[hits], np.cumsum(sizes)
+            right = hits[hits != ends - 1]
+            left = hits[hits != ends - sizes] - 1
+            for at in (right, left):
+                ranks[at] = self._ranks(ids[at] * size + ids[at + 1])
         return done
 
     def _long(self, piece: bytes) -> bytes:
@@ -125,52 +190,56 @@ class ByteCodec:
                     heapq.heappush(queue, found)
         return np.array([t for t in ids if t >= 0], np.uint32).tobytes()
 
-    def encode_words(self, words: list[str]) -> bytes:
-        """Ids of pre-tokens in a row, as little-endian unsigned 32-bit integers."""
-        new = [w for w in dict.fromkeys(words) if w not in self.kept]
-        if new:
-            if len(self.kept) > KEPT:
-                self.kept, self.old = {}, self.kept
-                new = list(dict.fromkeys(words))
-            unknown = []
-            for w in new:
-                ids = self.old.get(w)
-                if ids is None:
-                    unknown.append(w)
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Put the new ones of distinct pre-tokens into the memory; returns a table of all of
+        them. Long ones are not remembered, as they may be of any size."""
+        if len(self.kept) > KEPT:
+            self.kept, self.old = {}, self.kept
+        kept, old, rank = self.kept, self.old, self.rank
+        names, short, more = [], [], {}
+        for w in words - kept.keys():
+            ids = old.get(w)
+            if ids is None:
+                raw = w.encode("utf-8", "replace")
+                if raw in rank:  # a whole token stands for itself
+                    ids = np.uint32(rank[raw]).tobytes()
+                elif len(raw) > LONG:
+                    more[w] = self._long(raw)
+                    continue
                 else:
-                    self.kept[w] = ids
-            raw = [w.encode("utf-8", "replace") for w in unknown]
-            for w, b in zip(unknown, raw, strict=True):
-                if b in self.rank:  # a whole token stands for itself
-                    self.kept[w] = np.uint32(self.rank[b]).tobytes()
-            short = [i for i, b in enumerate(raw) if len(b) <= LONG and b not in self.rank]
-            for i, ids in zip(short, self._merged([raw[i] for i in short]), strict=True):
-                self.kept[unknown[i]] = ids
-            long = {unknown[i]: self._long(b) for i, b in enumerate(raw) if len(b) > LONG and b not in self.rank}
-            if long:  # not remembered: they may be of any size
-                kept = self.kept
-                return b"".join([kept[w] if w in kept else long[w] for w in words])
-        return b"".join(map(self.kept.__getitem__, words))
+                    names.append(w)
+                    short.append(raw)
+                    continue
+            kept[w] = ids
+        kept.update(zip(names, self._merged(short), strict=True))
+        return kept | more if more else kept
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts (or stretches between boundaries), as little-endian unsigned
+        32-bit integers; new pre-tokens of all of them are encoded together."""
+        rows = [self.split(t) for t in texts]
+        known = self._learn(set().union(*rows)).__getitem__
+        return [b"".join(map(known, r)) for r in rows]
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, np.uint32).tolist()))
+        """The raw bytes of all ids, one after another."""
+        at = np.frombuffer(ids, np.uint32)
+        sizes = self.lengths[at]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.bytes[np.repeat(self.places[at] - ends + sizes, sizes) + np.arange(total)].tobytes()
 
-    def coded(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
-        """Ids and decoded bytes of whole texts (or stretches between boundaries)."""
-        rows = [self.find.findall(t) for t in texts]
-        self.learn(rows)
-        ids = [self.encode_words(r) for r in rows]
-        return ids, [self.decode(i) for i in ids]
 
-    def learn(self, rows: list[list[str]]) -> None:
-        """Encode the new words of many texts together."""
-        self.encode_words([w for w in set().union(*rows) if len(w) <= LONG])
+_codecs: dict[tuple, ByteCodec] = {}
 
 
-@lru_cache(2)
-def codec(ranks: str, pattern: str) -> ByteCodec:
+def codec(ranks: str, pattern: str, newer: dict[str, str]) -> ByteCodec:
     """One codec, with its memory of words, per Python worker."""
-    return ByteCodec(ranks, pattern)
+    name = (ranks, pattern, *newer.items())
+    if name not in _codecs:
+        _codecs.clear()
+        _codecs[name] = ByteCodec(ranks, pattern, newer)
+    return _codecs[name]
 
 
 def _chunks(docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
@@ -194,13 +263,13 @@ def _chunks(docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
     return docs.select("doc", "key", "text").mapInArrow(run, f"doc bigint, key {key_type}, no bigint, last boolean, part string")
 
 
-def _pretokens(chunks: DataFrame, ranks: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
+def _pretokens(chunks: DataFrame, codec_of: tuple, chunk: int, overlap: int) -> DataFrame:
     """`chunks` with `head` and `tail`: the boundaries in the stretch shared with the chunk
     before and with the one after, counted from the start of that stretch."""
     kinds = {f.name: f.dataType.simpleString() for f in chunks.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(ranks, pattern)
+        c = codec(*codec_of)
         for batch in batches:
             heads, tails = [], []
             for last, part in zip(batch.column("last").to_pylist(), batch.column("part").to_pylist(), strict=True):
@@ -215,18 +284,19 @@ def _pretokens(chunks: DataFrame, ranks: str, pattern: str, chunk: int, overlap:
     return chunks.mapInArrow(run, f"{schema}, head array<int>, tail array<int>")
 
 
-def _coded(rows: DataFrame, ranks: str, pattern: str, block: int = BLOCK_BYTES) -> DataFrame:
+def _coded(rows: DataFrame, codec_of: tuple, block: int = BLOCK_BYTES) -> DataFrame:
     """The first columns of `rows` and, for its last one (text), ids and decoded bytes."""
     names = rows.columns[:-1]
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(ranks, pattern)
+        c = codec(*codec_of)
         for batch in batches:
             at = 0
             for some in text_blocks(batch.columns[-1], block):
                 with paused_gc():
-                    ids, back = c.coded(some.to_pylist())
+                    ids = c.encode(some.to_pylist())
+                    back = [c.decode(i) for i in ids]
                 first = [col.slice(at, len(some)) for col in batch.columns[:-1]]
                 yield pa.RecordBatch.from_arrays([*first, pa.array(ids, pa.binary()), pa.array(back, pa.binary())], names=[*names, "ids", "decoded"])
                 at += len(some)
@@ -252,13 +322,14 @@ def coded(
     """
     if not 0 < overlap < chunk:
         raise ValueError("the overlap must be shorter than a chunk")
+    codec_of = (ranks, pattern, newer_letters(pattern))
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    short = _coded(rows.filter(F.length("text") <= chunk), ranks, pattern)
+    short = _coded(rows.filter(F.length("text") <= chunk), codec_of)
 
     long = rows.filter(F.length("text") > chunk).withColumn("doc", F.monotonically_increasing_id())
     parts = _chunks(long, chunk, overlap)
     spread = parts.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc", "no")
-    parts = stored(_pretokens(spread, ranks, pattern, chunk, overlap), "byte-pretokens")
+    parts = stored(_pretokens(spread, codec_of, chunk, overlap), "byte-pretokens")
     # Seams from narrow rows: the first boundary that a chunk shares with the next one.
     order, whole = Window.partitionBy("doc").orderBy("no"), Window.partitionBy("doc")
     shared = F.array_min(F.array_intersect("tail", F.lead("head").over(order)))
@@ -274,7 +345,7 @@ def coded(
     unfit = cut.filter("not fits").select("doc", "key", "no", own.alias("part"))
     unfit = unfit.groupBy("doc").agg(F.first("key").alias("key"), F.sort_array(F.collect_list(F.struct("no", "part"))).alias("parts"))
     unfit = unfit.select("doc", "key", F.lit(0).cast("bigint").alias("no"), F.array_join("parts.part", "").alias("part"))
-    pieces = _coded(stitched.unionByName(unfit), ranks, pattern)
+    pieces = _coded(stitched.unionByName(unfit), codec_of)
     grouped = pieces.groupBy("doc").agg(F.first("key").alias("key"), F.sort_array(F.collect_list(F.struct("no", "ids", "decoded"))).alias("p"))
     joined = grouped.select("key", _joined(F.col("p.ids")).alias("ids"), _joined(F.col("p.decoded")).alias("decoded"))
     return short.unionByName(joined).withColumnRenamed("key", key)
