@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
@@ -284,8 +284,8 @@ def _pretokens(chunks: DataFrame, codec_of: tuple, chunk: int, overlap: int) ->
     return chunks.mapInArrow(run, f"{schema}, head array<int>, tail array<int>")
 
 
-def _coded(rows: DataFrame, codec_of: tuple, block: int = BLOCK_BYTES) -> DataFrame:
-    """The first columns of `rows` and, for its last one (text), ids and decoded bytes."""
+def _encoded(rows: DataFrame, codec_of: tuple, block: int = BLOCK_BYTES) -> DataFrame:
+    """The first columns of `rows` and, for its last one (text), ids."""
     names = rows.columns[:-1]
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
@@ -296,13 +296,23 @@ def _coded(rows: DataFrame, codec_of: tuple, block: int = BLOCK_BYTES) -> DataFr
             for some in text_blocks(batch.columns[-1], block):
                 with paused_gc():
                     ids = c.encode(some.to_pylist())
-                    back = [c.decode(i) for i in ids]
                 first = [col.slice(at, len(some)) for col in batch.columns[:-1]]
-                yield pa.RecordBatch.from_arrays([*first, pa.array(ids, pa.binary()), pa.array(back, pa.binary())], names=[*names, "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*first, pa.array(ids, pa.binary())], names=[*names, "ids"])
                 at += len(some)
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in names)
-    return rows.mapInArrow(run, f"{schema}, ids binary, decoded binary")
+    return rows.mapInArrow(run, f"{schema}, ids binary")
+
+
+def decoded(ids: Column, codec_of: tuple) -> Column:
+    """The raw bytes that ids stand for, one after another."""
+
+    @F.arrow_udf(BinaryType())
+    def decode(column: pa.Array) -> pa.Array:
+        c = codec(*codec_of)
+        return pa.array([None if i is None else c.decode(i) for i in column.to_pylist()], pa.binary())
+
+    return decode(ids)
 
 
 @F.arrow_udf(BinaryType())
@@ -324,7 +334,7 @@ def coded(
         raise ValueError("the overlap must be shorter than a chunk")
     codec_of = (ranks, pattern, newer_letters(pattern))
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    short = _coded(rows.filter(F.length("text") <= chunk), codec_of)
+    short = _encoded(rows.filter(F.length("text") <= chunk), codec_of)
 
     long = rows.filter(F.length("text") > chunk).withColumn("doc", F.monotonically_increasing_id())
     parts = _chunks(long, chunk, overlap)
@@ -345,7 +355,7 @@ def coded(
     unfit = cut.filter("not fits").select("doc", "key", "no", own.alias("part"))
     unfit = unfit.groupBy("doc").agg(F.first("key").alias("key"), F.sort_array(F.collect_list(F.struct("no", "part"))).alias("parts"))
     unfit = unfit.select("doc", "key", F.lit(0).cast("bigint").alias("no"), F.array_join("parts.part", "").alias("part"))
-    pieces = _coded(stitched.unionByName(unfit), codec_of)
-    grouped = pieces.groupBy("doc").agg(F.first("key").alias("key"), F.sort_array(F.collect_list(F.struct("no", "ids", "decoded"))).alias("p"))
-    joined = grouped.select("key", _joined(F.col("p.ids")).alias("ids"), _joined(F.col("p.decoded")).alias("decoded"))
-    return short.unionByName(joined).withColumnRenamed("key", key)
+    pieces = _encoded(stitched.unionByName(unfit), codec_of)
+    grouped = pieces.groupBy("doc").agg(F.first("key").alias("key"), F.sort_array(F.collect_list(F.struct("no", "ids"))).alias("p"))
+    ids = short.unionByName(grouped.select("key", _joined(F.col("p.ids")).alias("ids")))
+    return ids.select(F.col("key").alias(key), "ids", decoded(F.col("ids"), codec_of).alias("decoded"))
