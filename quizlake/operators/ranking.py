@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quizlake.session import cut
+
 BUCKET_WIDTH = 4096
 
 
@@ -124,3 +126,21 @@ def top_share(
         name="_place",
     ).filter(F.col("_above") + F.col("_better") + F.col("_place") <= F.col("_keep"))
     return whole.select(*df.columns).unionByName(ranked.select(*df.columns))
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, total: str) -> DataFrame:
+    """`df` with `name`, the running sum of `value` per key by `order` (own row included), and
+    `total`, its sum per key. Rows are dealt by ranges of (keys, order), so a key with most
+    rows is spread over many tasks; one sum per key and range crosses them. Rows of one key
+    must differ in `order`."""
+    dealt = cut(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    by = [*keys, "_part"]
+    sums = dealt.groupBy(*by).agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(
+        *by, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"),
+        F.sum("_sum").over(Window.partitionBy(*keys)).alias(total),
+    )
+    inside = F.sum(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.withColumn("_inside", inside).join(sums, by).withColumn(name, F.col("_offset") + F.col("_inside")).drop(
+        "_part", "_offset", "_inside")
