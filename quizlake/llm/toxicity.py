@@ -33,7 +33,9 @@ LEAST_TEXTS, TELLING, VOCABULARY = 3, 4.0, 20_000
 #: Lengths of beginnings, and the numbers of occurrences from which a feature of its own is set.
 PREFIXES, TIMES = (4, 6), (1, 2, 4)
 #: Labels are noisy: an L1 penalty drops the words that go with a label by chance.
-PENALTY, STEPS, CLOSE = 0.01, 2_000, 1e-7
+PENALTY, CLOSE = 0.01, 1e-3
+#: Bounds that a fit does not come near: rounds of new features (at most MORE each), Newton steps, sweeps.
+ROUNDS, MORE, STEPS, SWEEPS = 50, 200, 30, 200
 WORDS = r"[^\p{L}\p{M}\p{N}]+"
 
 
@@ -104,11 +106,24 @@ class Rows:
     def gathered(self, r: np.ndarray) -> np.ndarray:
         return np.concatenate([np.bincount(self.feature, r[self.row], self.features), r @ self.dense])
 
+    def columns(self, which: np.ndarray) -> np.ndarray:
+        """Some features as dense columns."""
+        place = np.full(self.features + self.dense.shape[1], -1)
+        place[which] = np.arange(len(which))
+        out = np.zeros((self.n, len(which)))
+        at = place[self.feature]
+        out[self.row[at >= 0], at[at >= 0]] = 1
+        beside = which[which >= self.features]
+        out[:, place[beside]] = self.dense[:, beside - self.features]
+        return out
+
 
 def linear(rows: Rows, y: np.ndarray, use: np.ndarray) -> np.ndarray:
     """Weights and, last, the intercept of a logistic regression on the rows in `use`, both
-    classes of equal weight, with an L1 penalty on standardised features: accelerated proximal
-    steps until the objective stands still. Without both classes there is only an intercept."""
+    classes of equal weight, with an L1 penalty on standardised features. Only features that
+    are set or whose slope exceeds the penalty take part in the steps; when these stand still,
+    all slopes are taken again, until no other feature exceeds it. Without both classes there
+    is only an intercept."""
     ones, n = float((y * use).sum()), float(use.sum())
     width = rows.features + rows.dense.shape[1]
     out = np.zeros(width + 1)
@@ -120,43 +135,67 @@ def linear(rows: Rows, y: np.ndarray, use: np.ndarray) -> np.ndarray:
     square = np.concatenate([mean[: rows.features], (use / n) @ rows.dense**2])
     spread = np.sqrt(np.maximum(square - mean**2, 0))
     scale = np.divide(1.0, spread, out=np.zeros(width), where=spread > 1e-9)
-
-    def margin(w: np.ndarray, b: float) -> np.ndarray:
-        v = w * scale
-        return rows.times(v) + (b - mean @ v)
-
-    def gradient(m: np.ndarray) -> tuple[np.ndarray, float]:
-        r = share * (0.5 * (1 + np.tanh(0.5 * m)) - y)
-        return (rows.gathered(r) - mean * r.sum()) * scale, float(r.sum())
-
-    # The largest curvature, by power iteration, with something to spare.
-    v, bend = np.ones(width + 1), 1.0
-    for _ in range(20):
-        v /= np.linalg.norm(v)
-        r = share * margin(v[:-1], v[-1])
-        v = np.append((rows.gathered(r) - mean * r.sum()) * scale, r.sum())
-        bend = float(np.linalg.norm(v))
-    step = 1.0 / (0.25 * 1.2 * bend)
-    w, b, pw, pb, t, before = np.zeros(width), 0.0, np.zeros(width), 0.0, 1.0, np.inf
-    for turn in range(STEPS):
-        gw, gb = gradient(margin(pw, pb))
-        nw, nb = pw - step * gw, pb - step * gb
-        nw = np.sign(nw) * np.maximum(np.abs(nw) - step * PENALTY, 0)
-        if gw @ (nw - w) + gb * (nb - b) > 0:  # start the acceleration anew
-            t = 1.0
-        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        pw, pb = nw + (t - 1) / after * (nw - w), nb + (t - 1) / after * (nb - b)
-        w, b, t = nw, nb, after
-        if turn % 20 == 19:
-            m = margin(w, b)
-            now = float(share @ (np.logaddexp(0, m) - y * m) + PENALTY * np.abs(w).sum())
-            if before - now <= CLOSE * max(abs(now), 1e-12):
-                break
-            before = now
+    w, b, margin = np.zeros(width), 0.0, np.zeros(rows.n)
+    for _ in range(ROUNDS):
+        r = share * (_chance(margin) - y)
+        slope = (rows.gathered(r) - mean * r.sum()) * scale
+        over = np.where(w == 0, np.abs(slope) - PENALTY * (1 + CLOSE), 0)
+        new = np.flatnonzero(over > 0)
+        if _ and not len(new):
+            break
+        new = new[np.argsort(-over[new], kind="stable")[:MORE]]
+        active = np.union1d(np.flatnonzero(w), new)
+        z = np.column_stack([(rows.columns(active) - mean[active]) * scale[active], np.ones(rows.n)])
+        v = _settled(z, y, share, np.append(w[active], b))
+        w[active], b, margin = v[:-1], float(v[-1]), z @ v
     v = w * scale
     return np.append(v, b - mean @ v)
 
 
+def _settled(z: np.ndarray, y: np.ndarray, share: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Newton steps under the penalty on dense columns; the last one, the intercept, is free."""
+    penalty = np.append(np.full(z.shape[1] - 1, PENALTY), 0.0)
+
+    def cost(v: np.ndarray, margin: np.ndarray) -> float:
+        return float(share @ (np.logaddexp(0, margin) - y * margin) + penalty @ np.abs(v))
+
+    margin = z @ v
+    now = cost(v, margin)
+    for _ in range(STEPS):
+        p = _chance(margin)
+        slope, bend = z.T @ (share * (p - y)), (z * (share * p * (1 - p))[:, None]).T @ z
+        bend[np.diag_indices(len(v))] += 1e-9
+        to = _descended(bend, slope - bend @ v, penalty, v)
+        step, move = 1.0, z @ (to - v)
+        while step > 1e-6 and (after := cost(v + step * (to - v), margin + step * move)) > now:
+            step /= 2
+        if step <= 1e-6:
+            break
+        v, margin, gain, now = v + step * (to - v), margin + step * move, now - after, after
+        if gain <= CLOSE * CLOSE * now:
+            break
+    return v
+
+
+def _descended(bend: np.ndarray, slope: np.ndarray, penalty: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The lowest point of a quadratic function plus penalties, one coordinate at a time."""
+    v, pull = v.copy(), bend @ v + slope
+    diagonal, rest = bend.diagonal().tolist(), penalty.tolist()
+    for _ in range(SWEEPS):
+        most = 0.0
+        for j in range(len(v)):
+            old = float(v[j])
+            at = diagonal[j] * old - float(pull[j])
+            new = (max(abs(at) - rest[j], 0.0) / diagonal[j]) * (1 if at > 0 else -1)
+            if new != old:
+                v[j] = new
+                pull += bend[j] * (new - old)
+                most = max(most, abs(new - old) * diagonal[j] ** 0.5)
+        if most <= CLOSE * PENALTY:
+            break
+    return v
+
+
 def _fitted(features: DataFrame, name: str, size: int, before: list[np.ndarray], keys: np.ndarray, folds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights of the model on all rows, out-of-fold log-odds by row (in order of `keys`), labels.
     `before` holds the probabilities of the earlier categories, row by row."""
