@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quizlake.llm.common import discard, stored
+from quizlake.llm.common import discard, scratch, stored
 
 LEAST, GRAM, SPREAD = 400, 16, 48
 PREFIX = GRAM + SPREAD
@@ -65,10 +65,43 @@ def _hash(data: memoryview) -> int:
     return xxhash.xxh3_64_intdigest(data) - 2**63
 
 
+def _hashes(view: memoryview, starts: list[int], stops: list[int]) -> np.ndarray:
+    """`_hash` of many stretches of a text."""
+    digest = xxhash.xxh3_64_intdigest
+    found = np.array([digest(view[a:b]) for a, b in zip(starts, stops, strict=True)], np.uint64)
+    return (found ^ np.uint64(1 << 63)).view(np.int64)
+
+
 def _bytes_of(column: pa.Array) -> list[bytes]:
     return [b"" if t is None else t.encode() for t in column.to_pylist()]
 
 
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """Rows of a list column as arrays; a null list is empty."""
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    if column.null_count:  # flattening skips what null rows may hold
+        sizes = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(ends), 0)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+    return np.split(flat, (ends - ends[0])[1:-1])
+
+
+class _Out:
+    """Columns made piece by piece."""
+
+    def __init__(self, width: int):
+        self.parts: list[list[np.ndarray]] = [[] for _ in range(width)]
+        self.rows = 0
+
+    def add(self, *columns) -> None:
+        n = next(len(c) for c in columns if isinstance(c, np.ndarray))
+        for part, c in zip(self.parts, columns, strict=True):
+            part.append(c if isinstance(c, np.ndarray) else np.full(n, c))
+        self.rows += n
+
+    def columns(self) -> list[np.ndarray]:
+        return [np.concatenate(p) if p else np.zeros(0, np.int64) for p in self.parts]
+
+
 def _map(df: DataFrame, function, schema: str) -> DataFrame:
     """mapInArrow whose function yields tuples of columns per batch."""
     import pyspark.sql.types as T
@@ -89,31 +122,27 @@ def _map(df: DataFrame, function, schema: str) -> DataFrame:
 
 
 def _found_places(batch: pa.RecordBatch):
-    doc, pos, key, width = [], [], [], []
+    out = _Out(3)
     for d, data in zip(batch.column(0).to_pylist(), _bytes_of(batch.column(1)), strict=True):
         if len(data) < LEAST:
             continue
-        view = memoryview(data)
-        at = [p for p in places(np.frombuffer(data, np.uint8)).tolist() if p + KEY <= len(data)]
-        doc.extend([d] * len(at))
-        pos.extend(at)
-        key.extend([_hash(view[p : p + KEY]) for p in at])
-        if len(doc) > 500_000:
-            yield doc, pos, key
-            doc, pos, key = [], [], []
-    yield doc, pos, key
+        at = places(np.frombuffer(data, np.uint8))
+        at = at[at + KEY <= len(data)]
+        out.add(d, at, _hashes(memoryview(data), at.tolist(), (at + KEY).tolist()))
+        if out.rows > 500_000:
+            yield out.columns()
+            out = _Out(3)
+    yield out.columns()
 
 
 def _contexts(batch: pa.RecordBatch):
     """Context hashes of listed places."""
-    out = ([], [], [], [], [])
-    for d, text, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-        view = memoryview(text.encode())
-        for p in at:
-            part = view[p : p + CONTEXT]
-            for column, value in zip(out, (d, p, _hash(view[p : p + KEY]), _hash(part), len(part)), strict=True):
-                column.append(value)
-    yield out
+    out = _Out(5)
+    for d, data, at in zip(batch.column(0).to_pylist(), _bytes_of(batch.column(1)), _lists(batch.column(2)), strict=True):
+        view, stops = memoryview(data), np.minimum(at + CONTEXT, len(data))
+        starts = at.tolist()
+        out.add(d, at, _hashes(view, starts, (at + KEY).tolist()), _hashes(view, starts, stops.tolist()), stops - at)
+    yield out.columns()
 
 
 def _context_bytes(batch: pa.RecordBatch):
@@ -228,61 +257,68 @@ class SuffixFamily:
         return rows.groupBy("doc", "pos").agg(F.max("common").alias("common"))
 
 
-def _gaps(data: bytes, found: dict[int, int]):
-    """Stretches of window starts that may repeat: start, stop, the place they lead to (-1 if
-    the windows hold none), and whether one is open, that is, not settled by the longest
-    matches `found` at the places around: a window is known to repeat if it ends within a match
-    that began at an earlier place, or if it begins at a place whose match is long enough."""
-    last = len(data) - LEAST
-    lower, start = 0, 0
-    for s in [*places(np.frombuffer(data, np.uint8)).tolist(), -1]:
-        stop = last if s < 0 else min(s, last)
-        bare = stop if s < 0 else min(stop, s - LEAST + KEY - 1)
-        if bare >= start:
-            yield start, bare, -1, bare + LEAST > lower
-        if s < 0:
-            return
-        length = found.get(s, 0)
-        # No window right of `upper` - LEAST repeats: matches shorter than KEY are not known.
-        upper = len(data) if length >= CONTEXT else max(s + length, s + KEY - 1)
-        first, final = max(start, bare + 1), min(stop, upper - LEAST)
-        if first <= final:
-            yield first, final, s, max(first, lower - LEAST + 1) <= min(final, s - 1)
-        if length:
-            lower = max(lower, s + length)
-        start = s + 1
+def _gaps(size: int, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of window starts that may repeat in a text of `size` bytes with places `at`:
+    start, stop, the place they lead to (-1 if the windows hold none), and whether one is open,
+    that is, not settled by the longest matches `length` (0: none) at the places around: a
+    window is known to repeat if it ends within a match that began at an earlier place, or if
+    it begins at a place whose match is long enough."""
+    last = size - LEAST
+    start = np.concatenate([[0], at + 1])
+    lower = np.maximum.accumulate(np.concatenate([[0], np.where(length > 0, at + length, 0)]))
+    stop = np.append(np.minimum(at, last), last)
+    # Windows that hold no place, before each place and behind the last one.
+    bare = np.append(np.minimum(stop[:-1], at - LEAST + KEY - 1), last)
+    some = bare >= start
+    # No window right of `upper` - LEAST repeats: matches shorter than KEY are not known.
+    upper = np.where(length >= CONTEXT, size, np.maximum(at + length, at + KEY - 1))
+    first, final = np.maximum(start[:-1], bare[:-1] + 1), np.minimum(stop[:-1], upper - LEAST)
+    rest = first <= final
+    is_open = np.maximum(first, lower[:-1] - LEAST + 1) <= np.minimum(final, at - 1)
+    return (
+        np.concatenate([start[some], first[rest]]),
+        np.concatenate([bare[some], final[rest]]),
+        np.concatenate([np.full(int(some.sum()), -1), at[rest]]),
+        np.concatenate([bare[some] + LEAST > lower[some], is_open[rest]]),
+    )
 
 
 def _open_gaps(batch: pa.RecordBatch):
     """Stretches with windows that may repeat: doc, start, stop, key of the place they lead to
     (0: no place), hash of all their bytes, whether a window of them is open."""
-    out = ([], [], [], [], [], [])
-    for d, text, at, size in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
-        data = text.encode()
+    out = _Out(6)
+    rows = zip(batch.column(0).to_pylist(), _bytes_of(batch.column(1)), _lists(batch.column(2)), _lists(batch.column(3)), strict=True)
+    for d, data, at, size in rows:
         if len(data) < LEAST:
             continue
+        found = places(np.frombuffer(data, np.uint8))
+        length = np.zeros(len(found), np.int64)
+        length[np.searchsorted(found, at)] = size
+        start, stop, place, is_open = _gaps(len(data), found, length)
         view = memoryview(data)
-        for start, stop, place, is_open in _gaps(data, dict(zip(at or [], size or [], strict=True))):
-            key = 0 if place < 0 else _hash(view[place : place + KEY])
-            row = (d, start, stop, key, _hash(view[start : stop + LEAST]), is_open)
-            for column, value in zip(out, row, strict=True):
-                column.append(value)
-    yield out
+        key = np.zeros(len(place), np.int64)
+        led = place >= 0
+        key[led] = _hashes(view, place[led].tolist(), (place[led] + KEY).tolist())
+        out.add(d, start, stop, key, _hashes(view, start.tolist(), (stop + LEAST).tolist()), is_open)
+        if out.rows > 500_000:
+            yield out.columns()
+            out = _Out(6)
+    yield out.columns()
 
 
 def _windows(batch: pa.RecordBatch):
     """Hashes of the windows of listed stretches: hash, doc, pos, copies."""
-    out = ([], [], [], [])
-    for d, text, starts, stops, copies in zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True):
-        view = memoryview(text.encode())
-        for start, stop, n in zip(starts, stops, copies, strict=True):
-            for p in range(start, stop + 1):
-                for column, value in zip(out, (_hash(view[p : p + LEAST]), d, p, n), strict=True):
-                    column.append(value)
-        if len(out[0]) > 300_000:
-            yield out
-            out = ([], [], [], [])
-    yield out
+    out = _Out(4)
+    rows = zip(batch.column(0).to_pylist(), _bytes_of(batch.column(1)), *map(_lists, batch.columns[2:5]), strict=True)
+    for d, data, starts, stops, copies in rows:
+        sizes = stops.astype(np.int64) - starts + 1
+        ends = np.cumsum(sizes)
+        at = np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        out.add(_hashes(memoryview(data), at.tolist(), (at + LEAST).tolist()), d, at, np.repeat(copies, sizes))
+        if out.rows > 300_000:
+            yield out.columns()
+            out = _Out(4)
+    yield out.columns()
 
 
 def _with_lists(held: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -304,8 +340,11 @@ def repeated(docs: DataFrame, batches: int = BATCHES, key: str = "doc_id", text:
     name = f"suffix_docs_{uuid.uuid4().hex}"
     rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.repartition(parts, "doc").dropDuplicates(["doc"])
-    rows.write.option("compression", "zstd").bucketBy(parts, "doc").sortBy("doc").saveAsTable(name)
+    # A bucketed table is only known by name; its files are ours, so the name can go at once.
+    files = rows.write.option("compression", "zstd").option("path", scratch(spark, "suffix-docs"))
+    files.bucketBy(parts, "doc").sortBy("doc").saveAsTable(name)
     held = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
 
     found = stored(_map(held.select("doc", "text"), _found_places, "doc bigint, pos int, key bigint"), "suffix-places")
     often = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
