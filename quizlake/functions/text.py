@@ -6,6 +6,8 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,11 +110,29 @@ def sorted_tokens(c: Column | str) -> Column:
     return F.array_join(F.array_sort(F.filter(F.split(_col(c), " "), lambda t: t != "")), " ")
 
 
+def bound(value: Column, make: Callable[[Column], Column]) -> Column:
+    """`make` of a value that is computed once, however often it is used inside."""
+    return F.transform(F.array(value), make)[0]
+
+
 def numbered_tokens(tokens: Column) -> Column:
     """Tokens in order, each with the number of its repeat: sets of these intersect as the
-    token arrays do as multisets."""
-    ordered = F.array_sort(tokens)
-    return F.transform(ordered, lambda t, i: F.concat_ws("#", t, (i - F.array_position(ordered, t)).cast("string")))
+    token arrays do as multisets. One pass over the sorted tokens finds where each run of
+    equal ones starts, one over the runs numbers them."""
+
+    def runs(s: Column) -> Column:
+        starts = F.transform(s, lambda t, i: F.when((i == 0) | (t != F.get(s, i - 1)), i))
+
+        def number(p: Column) -> Column:
+            def run(at: Column, k: Column) -> Column:
+                end = F.coalesce(F.get(p, k + 1), F.size(s))
+                return F.transform(F.sequence(at, end - 1), lambda j: F.concat_ws("#", F.get(s, at), (j - at).cast("string")))
+
+            return F.flatten(F.transform(p, run))
+
+        return bound(F.filter(starts, lambda i: i.isNotNull()), number)
+
+    return bound(F.array_sort(tokens), runs)
 
 
 def multiset_jaccard(a: Column, b: Column) -> Column:
