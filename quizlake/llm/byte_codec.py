@@ -37,7 +37,7 @@ from quizlake.llm.common import paused_gc, stored, text_blocks
 CHUNK, OVERLAP = 16_384, 1_024
 #: What the pattern finds is decided by the match and so many characters behind it.
 LOOK_AHEAD = 3
-KEPT, LONG = 250_000, 64
+KEPT, LONG = 120_000, 64
 BLOCK_BYTES = 4 << 20
 
 
@@ -87,22 +87,47 @@ class Splitter:
         return self.find(text)
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    """A file of ranks: lines of base64 bytes and rank."""
+    with open(path, "rb") as lines:
+        pairs = [line.split() for line in lines if line.strip()]
+    return {base64.b64decode(token): int(r) for token, r in pairs}
+
+
+def token_bytes(rank: dict[bytes, int]) -> list[bytes]:
+    """The bytes of every id."""
+    out = [b""] * (max(rank.values()) + 1)
+    for token, r in rank.items():
+        out[r] = token
+    return out
+
+
+class ByteDecoder:
+    """The raw bytes of ids, one after another, by a table."""
+
+    def __init__(self, ranks: str):
+        token = token_bytes(read_ranks(ranks))
+        self.lengths = np.fromiter(map(len, token), np.int64, len(token))
+        self.places = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(token), np.uint8)
+
+    def decode(self, ids: bytes) -> bytes:
+        at = np.frombuffer(ids, np.uint32)
+        sizes = self.lengths[at]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.bytes[np.repeat(self.places[at] - ends + sizes, sizes) + np.arange(total)].tobytes()
+
+
 class ByteCodec:
-    """Encoder and decoder of one file of ranks (lines of base64 bytes and rank)."""
+    """Encoder of one file of ranks."""
 
     def __init__(self, ranks: str, pattern: str, newer: dict[str, str]):
-        with open(ranks, "rb") as lines:
-            pairs = [line.split() for line in lines if line.strip()]
-        self.rank = rank = {base64.b64decode(token): int(r) for token, r in pairs}
+        self.rank = rank = read_ranks(ranks)
         self.split = Splitter(pattern, newer)
-        size = max(rank.values()) + 1
+        self.token = token_bytes(rank)
+        size = len(self.token)
         self.size = np.int64(size)
-        self.token = [b""] * size
-        for token, r in rank.items():
-            self.token[r] = token
-        self.lengths = np.fromiter(map(len, self.token), np.int64, size)
-        self.places = np.cumsum(self.lengths) - self.lengths
-        self.bytes = np.frombuffer(b"".join(self.token), np.uint8)
         self.byte = np.array([rank[bytes([b])] for b in range(256)], np.int64)
         # Every way to put a token together from two, as left * size + right.
         made = [
@@ -221,14 +246,6 @@ class ByteCodec:
         known = self._learn(set().union(*rows)).__getitem__
         return [b"".join(map(known, r)) for r in rows]
 
-    def decode(self, ids: bytes) -> bytes:
-        """The raw bytes of all ids, one after another."""
-        at = np.frombuffer(ids, np.uint32)
-        sizes = self.lengths[at]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.bytes[np.repeat(self.places[at] - ends + sizes, sizes) + np.arange(total)].tobytes()
-
 
 _codecs: dict[tuple, ByteCodec] = {}
 
@@ -304,12 +321,17 @@ def _encoded(rows: DataFrame, codec_of: tuple, block: int = BLOCK_BYTES) -> Data
     return rows.mapInArrow(run, f"{schema}, ids binary")
 
 
-def decoded(ids: Column, codec_of: tuple) -> Column:
+@lru_cache(2)
+def decoder(ranks: str) -> ByteDecoder:
+    return ByteDecoder(ranks)
+
+
+def decoded(ids: Column, ranks: str) -> Column:
     """The raw bytes that ids stand for, one after another."""
 
     @F.arrow_udf(BinaryType())
     def decode(column: pa.Array) -> pa.Array:
-        c = codec(*codec_of)
+        c = decoder(ranks)
         return pa.array([None if i is None else c.decode(i) for i in column.to_pylist()], pa.binary())
 
     return decode(ids)
@@ -358,4 +380,4 @@ def coded(
     pieces = _encoded(stitched.unionByName(unfit), codec_of)
     grouped = pieces.groupBy("doc").agg(F.first("key").alias("key"), F.sort_array(F.collect_list(F.struct("no", "ids"))).alias("p"))
     ids = short.unionByName(grouped.select("key", _joined(F.col("p.ids")).alias("ids")))
-    return ids.select(F.col("key").alias(key), "ids", decoded(F.col("ids"), codec_of).alias("decoded"))
+    return ids.select(F.col("key").alias(key), "ids", decoded(F.col("ids"), ranks).alias("decoded"))
