@@ -47,18 +47,28 @@ def routed(questions: DataFrame, mode: str) -> DataFrame:
 
 def cleanup_batches(questions: DataFrame, cache: DataFrame, mode: str, size: int = BATCH_DEFAULT) -> DataFrame:
     """Questions that need work, cut into batches first and then looked up in the cache.
-    `call_pos` numbers the misses of a batch."""
+
+    The cache fills up during a run: what a batch has called for is there for the batches of
+    its job after it, not yet for itself. So of all batches that hold a question, the first
+    one calls for it (every copy in it); later copies are hits and take its answer, with
+    `from_batch` naming that batch. A cache with a `job_id` is looked up per job, one without
+    serves all jobs. `call_pos` numbers the calls of a batch."""
     need = routed(questions, mode).filter("needs_cleanup").drop("needs_cleanup")
     cut_rows = in_batches(need, "q_idx", size).withColumn(
         "content_hash", tx.content_hash("stem", "options")
     )
+    by = ["job_id", "content_hash"] if "job_id" in cache.columns else ["content_hash"]
     hits = cache.select(
-        "content_hash", F.col("stem").alias("cached_stem"), F.col("options").alias("cached_options"),
-        F.lit(True).alias("_hit"),
+        *by, F.col("stem").alias("cached_stem"), F.col("options").alias("cached_options"), F.lit(True).alias("_known")
+    )
+    first = cut_rows.groupBy("job_id", "content_hash").agg(F.min("batch_no").alias("_first"))
+    joined = cut_rows.join(first, ["job_id", "content_hash"]).join(hits, by, "left")
+    later = F.col("_known").isNull() & (F.col("batch_no") > F.col("_first"))
+    joined = joined.withColumn("from_batch", F.when(later, F.col("_first"))).withColumn(
+        "cache_hit", F.col("_known").isNotNull() | later
     )
-    joined = cut_rows.join(hits, "content_hash", "left").withColumn("cache_hit", F.coalesce("_hit", F.lit(False)))
-    misses = F.row_number().over(Window.partitionBy(*BATCH, "cache_hit").orderBy("pos")) - 1
-    return joined.drop("_hit").withColumn("call_pos", F.when(~F.col("cache_hit"), misses))
+    calls = F.row_number().over(Window.partitionBy(*BATCH, "cache_hit").orderBy("pos")) - 1
+    return joined.drop("_known", "_first").withColumn("call_pos", F.when(~F.col("cache_hit"), calls))
 
 
 def all_batches(questions: DataFrame, size: int = BATCH_DEFAULT) -> DataFrame:
@@ -133,16 +143,29 @@ def corrections(batches: DataFrame, replies: DataFrame) -> DataFrame:
     )
 
 
+def _answers(batches: DataFrame, replies: DataFrame, failures: bool = True) -> DataFrame:
+    """What a run puts into the cache of a job: (job_id, content_hash, stem, options). A call
+    without an accepted reply answers with what it was sent, if `failures`; of several calls
+    for one question, all in one batch, the last one counts."""
+    fixed = corrections(batches, replies).select(*BATCH, "call_pos", F.col("stem").alias("_s"), F.col("options").alias("_o"))
+    calls = batches.filter(~F.col("cache_hit")).join(fixed, [*BATCH, "call_pos"], "left" if failures else "inner")
+    answer = F.struct(F.coalesce("_s", "stem").alias("stem"), F.coalesce("_o", "options").alias("options"))
+    last = calls.groupBy("job_id", "content_hash").agg(F.max_by(answer, "call_pos").alias("a"))
+    return last.select("job_id", "content_hash", "a.stem", "a.options")
+
+
 def polished(questions: DataFrame, batches: DataFrame, replies: DataFrame) -> DataFrame:
-    """Questions after clean-up: cache hit, then correction, then the original."""
-    fixed = corrections(batches, replies).select(
-        "job_id", "q_idx", F.col("stem").alias("_new_stem"), F.col("options").alias("_new_options")
-    )
-    hits = batches.filter("cache_hit").select(
+    """Questions after clean-up: cache hit (of the cache as it was, then of this run), then
+    correction, then the original."""
+    named = ["job_id", "q_idx", F.col("stem").alias("_new_stem"), F.col("options").alias("_new_options")]
+    fixed = corrections(batches, replies).select(*named)
+    hits = batches.filter("cache_hit AND from_batch IS NULL").select(
         "job_id", "q_idx", F.col("cached_stem").alias("_new_stem"), F.col("cached_options").alias("_new_options")
     )
+    later = batches.filter("from_batch IS NOT NULL").select("job_id", "q_idx", "content_hash")
+    later = later.join(_answers(batches, replies), ["job_id", "content_hash"]).select(*named)
     return (
-        questions.join(fixed.unionByName(hits), ["job_id", "q_idx"], "left")
+        questions.join(fixed.unionByName(hits).unionByName(later), ["job_id", "q_idx"], "left")
         .withColumn("stem", F.coalesce("_new_stem", "stem"))
         .withColumn("options", F.coalesce("_new_options", "options"))
         .drop("_new_stem", "_new_options")
@@ -150,29 +173,18 @@ def polished(questions: DataFrame, batches: DataFrame, replies: DataFrame) -> Da
 
 
 def updated_cache(cache: DataFrame, batches: DataFrame, replies: DataFrame, cache_failures: bool = True) -> DataFrame:
-    """Cache after a run. Failed calls are cached as they were sent unless told otherwise;
-    of several rows with one hash the last in order stays."""
-    fixed = corrections(batches, replies).select("job_id", "q_idx", F.col("stem").alias("_s"), F.col("options").alias("_o"))
-    calls = batches.filter(~F.col("cache_hit")).join(
-        fixed, ["job_id", "q_idx"], "left" if cache_failures else "inner"
-    )
-    fresh = calls.select(
-        "content_hash",
-        F.coalesce("_s", "stem").alias("stem"),
-        F.coalesce("_o", "options").alias("options"),
-        F.struct(F.lit(1).alias("run"), F.col("job_id").cast("string").alias("job_id"), "q_idx").alias("_v"),
-    )
-    old = cache.select(
-        "content_hash",
-        "stem",
-        "options",
-        F.struct(F.lit(0).alias("run"), F.lit("").alias("job_id"), F.lit(0).cast("bigint").alias("q_idx")).alias("_v"),
-    )
-    return upsert(old, fresh, ["content_hash"], "_v").drop("_v")
+    """Cache after a run. Failed calls are cached as they were sent unless told otherwise. In a
+    cache without `job_id`, which all jobs share, the answer of the last job stays."""
+    fresh = _answers(batches, replies, cache_failures).withColumn("_v", F.struct(F.lit(1).alias("run"), F.col("job_id").cast("string").alias("job")))
+    old = cache.withColumn("_v", F.struct(F.lit(0).alias("run"), F.lit("").alias("job")))
+    by = ["job_id", "content_hash"] if "job_id" in cache.columns else ["content_hash"]
+    columns = [*by, "stem", "options", "_v"]
+    return upsert(old.select(*columns), fresh.select(*columns), by, "_v").drop("_v")
 
 
 def counters(questions: DataFrame, batches: DataFrame, replies: DataFrame, mode: str) -> DataFrame:
-    """Calls with an accepted reply, cache hits and skipped questions per job."""
+    """Calls with an accepted reply, cache hits (also of answers of this run) and skipped
+    questions per job."""
     accepted = validated(batches, replies, objects=True).select(*BATCH).distinct().groupBy("job_id").agg(
         F.count(F.lit(1)).alias("calls")
     )
@@ -186,6 +198,11 @@ def counters(questions: DataFrame, batches: DataFrame, replies: DataFrame, mode:
     )
 
 
+def batch_calls(batches: DataFrame) -> DataFrame:
+    """Calls per job where every batch is one call."""
+    return batches.groupBy("job_id").agg(F.count_distinct("batch_no").alias("calls"))
+
+
 def answer_key(batches: DataFrame, replies: DataFrame) -> DataFrame:
     v = F.col("v")
     letter = F.coalesce(F.try_variant_get(v, "$.letter", "string"), F.lit(NO_LETTER))
@@ -282,7 +299,9 @@ def finalize(
 ) -> dict[str, DataFrame]:
     """Export mode routing over (questions, sources). `pyq` collapses near copies first,
     `exam` adds the answer key, `notes` adds sections and skips clean-up. Without a
-    `reply_source(kind, requests)` the questions pass through as they are."""
+    `reply_source(kind, requests)` the questions pass through as they are. `counters` holds the
+    calls of a job; those for notes and for an answer key count one per batch, whatever became
+    of them."""
     from quizlake.operators.questions import numbered
     from quizlake.operators.similarity import collapse_questions
 
@@ -299,9 +318,11 @@ def finalize(
     if mode == "notes":
         batches = all_batches(questions, size)
         out["notes"] = notes_sections(batches, reply_source("notes", requests(batches)))
+        none = F.lit(0).cast("bigint")
+        out["counters"] = batch_calls(batches).select("job_id", "calls", none.alias("cache_hits"), none.alias("skipped"))
         return out
     if cache is None:
-        cache = questions.select(F.lit("").alias("content_hash"), "stem", "options").limit(0)
+        cache = questions.select("job_id", F.lit("").alias("content_hash"), "stem", "options").limit(0)
     batches = cleanup_batches(questions, cache, mode, size)
     replies = reply_source("cleanup", requests(batches))
     out["questions"] = polished(questions, batches, replies)
@@ -310,6 +331,9 @@ def finalize(
     if mode == "exam":
         keyed = all_batches(out["questions"], size)
         out["answer_key"] = answer_key(keyed, reply_source("answer_key", requests(keyed)))
+        more = batch_calls(keyed).withColumnRenamed("calls", "_more")
+        out["counters"] = out["counters"].join(more, "job_id", "left").withColumn(
+            "calls", F.col("calls") + F.coalesce("_more", F.lit(0))).drop("_more")
     return out
 
 

@@ -79,9 +79,9 @@ def cached_polish(bank_df: DataFrame) -> DataFrame:
     """A cache holding the questions whose stem has an even number of characters."""
     return (
         bank_df.filter(F.length("stem") % 2 == 0)
-        .select(tx.content_hash("stem", "options").alias("content_hash"))
+        .select("job_id", tx.content_hash("stem", "options").alias("content_hash"))
         .distinct()
-        .select("content_hash", F.lit("cached").alias("stem"), F.create_map(F.lit("A"), F.lit("hit")).alias("options"))
+        .select("job_id", "content_hash", F.lit("cached").alias("stem"), F.create_map(F.lit("A"), F.lit("hit")).alias("options"))
     )
 
 
@@ -677,6 +677,22 @@ def enrichment_counters(spark, sf_dir):
     return enrichment.counters(rows, batches, replies, "fast")
 
 
+@query
+def polish_cache(spark, sf_dir):
+    """Cache of every job after the run."""
+    rows, batches, replies = _cleanup(spark, sf_dir)
+    return flat(enrichment.updated_cache(cached_polish(rows), batches, replies)).select("job_id", "content_hash", "stem", "options")
+
+
+@query
+def finalize_calls(spark, sf_dir):
+    """Calls of an exam run: clean-up as routed, and one call per batch of the answer key."""
+    bank_rows = plain_bank(spark, sf_dir)
+    sources = bank_rows.select("job_id", "q_idx", F.col("name").alias("source_frame"))
+    out = enrichment.finalize(bank_rows, sources, "exam", cached_polish(bank_rows), lambda kind, asked: reply_table(asked, kind))
+    return out["counters"].select("job_id", "calls", "cache_hits", "skipped")
+
+
 @query
 def answer_key(spark, sf_dir):
     batches = cut(enrichment.all_batches(plain_bank(spark, sf_dir)))

@@ -145,12 +145,22 @@ _CLEAN = (
     + rf" AND len(regexp_extract_all({_trim('stem', WEB)}, '[\p{{L}}\p{{N}}]'))::DOUBLE / greatest(1, length({_trim('stem', WEB)})) >= 0.45)"
 )
 _NEED = lambda t: f"({_ANY_BREAK} OR NOT (confidence >= {t} AND {_CLEAN}))"
-VIEWS["v_cache"] = f"SELECT DISTINCT {_HASH} AS content_hash FROM v_bank WHERE length(stem) % 2 = 0"
-VIEWS["v_batches"] = f"""SELECT *, CASE WHEN NOT cache_hit THEN
+VIEWS["v_cache"] = f"SELECT DISTINCT job_id, {_HASH} AS content_hash FROM v_bank WHERE length(stem) % 2 = 0"
+
+
+def _batches(threshold: str) -> str:
+    """The first batch of a job that holds a question calls for it; later ones hit."""
+    return f"""SELECT *, CASE WHEN NOT cache_hit THEN
   row_number() OVER (PARTITION BY job_id, batch_no, cache_hit ORDER BY pos) - 1 END AS call_pos FROM (
- SELECT b.*, i // 25 AS batch_no, i % 25 AS pos, c.content_hash IS NOT NULL AS cache_hit FROM (
-  SELECT *, {_HASH} AS h, row_number() OVER (PARTITION BY job_id ORDER BY q_idx) - 1 AS i FROM v_bank WHERE {_NEED('0.87')}) b
- LEFT JOIN v_cache c ON c.content_hash = b.h)"""
+ SELECT *, known OR batch_no > first AS cache_hit FROM (
+  SELECT b.*, c.content_hash IS NOT NULL AS known, min(batch_no) OVER (PARTITION BY b.job_id, b.h) AS first FROM (
+   SELECT *, i // 25 AS batch_no, i % 25 AS pos FROM (
+    SELECT *, {_HASH} AS h, row_number() OVER (PARTITION BY job_id ORDER BY q_idx) - 1 AS i FROM v_bank WHERE {_NEED(threshold)})) b
+  LEFT JOIN v_cache c ON c.content_hash = b.h AND c.job_id = b.job_id))"""
+
+
+VIEWS["v_batches"] = _batches("0.87")
+VIEWS["v_exam_batches"] = _batches("0.93")
 VIEWS["v_all_batches"] = "SELECT *, (q_idx - 1) // 25 AS batch_no, (q_idx - 1) % 25 AS pos, (q_idx - 1) % 25 AS call_pos FROM v_bank"
 
 
@@ -170,6 +180,9 @@ def _replies(batches: str, one: str | None) -> str:
 VIEWS["v_fix_replies"] = _replies(
     "v_batches", """concat('{"id":"', id, '","stem":"fixed ', id, '","options":{"A":"one","B":2}}')"""
 )
+VIEWS["v_exam_replies"] = _replies(
+    "v_exam_batches", """concat('{"id":"', id, '","stem":"fixed ', id, '","options":{"A":"one","B":2}}')"""
+)
 VIEWS["v_key_replies"] = _replies("v_all_batches", """concat('{"id":"', id, '","letter":" b","rationale":"see notes"}')""")
 VIEWS["v_topic_replies"] = _replies(
     "v_all_batches", """concat('{"id":"', id, '","topics":[" Law ","",', substring(id, 2, 9), ',"b","c","d"]}')"""
@@ -188,11 +201,16 @@ def _elements(replies: str) -> str:
  WHERE len(arr) = n AND len(list_filter(arr, lambda x: json_type(x) <> 'OBJECT')) = 0)"""
 
 
-_FIX = f"""fixed AS (SELECT b.job_id, b.batch_no, b.q_idx, json_extract_string(e, '$.id') AS id,
+_FIX = f"""fixed AS (SELECT b.job_id, b.batch_no, b.q_idx, b.h, b.call_pos, json_extract_string(e, '$.id') AS id,
  json_extract_string(e, '$.stem') AS stem,
  concat('A:', json_extract_string(e, '$.options.A'), '|B:', json_extract_string(e, '$.options.B')) AS options
  FROM v_batches b JOIN ({_elements('v_fix_replies')}) r USING (job_id, batch_no, call_pos))"""
 
+# What a run puts into the cache of its job: the last call for each question.
+_RUN = """, run AS (SELECT c.job_id, c.h, arg_max(coalesce(f.stem, c.stem), c.call_pos) AS stem,
+ arg_max(coalesce(f.options, c.options), c.call_pos) AS options
+ FROM v_batches c LEFT JOIN fixed f USING (job_id, q_idx) WHERE NOT c.cache_hit GROUP BY c.job_id, c.h)"""
+
 # Which views each view reads.
 _ORDER = list(VIEWS)
 
@@ -511,9 +529,16 @@ ORACLES: dict[str, str] = {
  ',"options":{{', array_to_string(list_filter([{_JSON_OPTS}], lambda x: x IS NOT NULL), ','), '}}}}'), ',' ORDER BY call_pos), ']') AS request
  FROM v_batches WHERE call_pos IS NOT NULL GROUP BY job_id, batch_no"""),
     "validate_replies": _with("SELECT job_id, batch_no, q_idx, id, stem, options FROM fixed", _FIX),
-    "polished_bank": _with("""SELECT b.job_id, b.q_idx, CASE WHEN h.cache_hit THEN 'cached' ELSE coalesce(f.stem, b.stem) END AS stem,
- CASE WHEN h.cache_hit THEN 'A:hit' ELSE coalesce(f.options, b.options) END AS options
- FROM v_bank b LEFT JOIN v_batches h USING (job_id, q_idx) LEFT JOIN fixed f USING (job_id, q_idx)""", _FIX),
+    "polished_bank": _with("""SELECT b.job_id, b.q_idx, CASE WHEN h.known THEN 'cached' WHEN h.cache_hit THEN r.stem ELSE coalesce(f.stem, b.stem) END AS stem,
+ CASE WHEN h.known THEN 'A:hit' WHEN h.cache_hit THEN r.options ELSE coalesce(f.options, b.options) END AS options
+FROM v_bank b LEFT JOIN v_batches h USING (job_id, q_idx) LEFT JOIN fixed f USING (job_id, q_idx)
+LEFT JOIN run r ON r.job_id = b.job_id AND r.h = h.h""", _FIX + _RUN),
+    "polish_cache": _with("""SELECT job_id, h AS content_hash, stem, options FROM run
+UNION ALL SELECT job_id, content_hash, 'cached', 'A:hit' FROM v_cache""", _FIX + _RUN),
+    "finalize_calls": _with(f"""SELECT job_id, (coalesce(calls, 0) + ceil(n / 25.0))::BIGINT AS calls, coalesce(hits, 0) AS cache_hits, skipped FROM (
+ SELECT job_id, count(*) AS n, count(*) FILTER (NOT {_NEED('0.93')}) AS skipped FROM v_bank GROUP BY job_id)
+LEFT JOIN (SELECT job_id, count(*) FILTER (cache_hit) AS hits FROM v_exam_batches GROUP BY 1) USING (job_id)
+LEFT JOIN (SELECT job_id, count(DISTINCT batch_no) AS calls FROM ({_elements('v_exam_replies')}) GROUP BY 1) USING (job_id)"""),
     "enrichment_counters": _with(f"""SELECT job_id, coalesce(calls, 0) AS calls, coalesce(hits, 0) AS cache_hits, skipped FROM (
  SELECT job_id, count(*) FILTER (NOT {_NEED('0.87')}) AS skipped FROM v_bank GROUP BY job_id)
  LEFT JOIN (SELECT job_id, count(*) FILTER (cache_hit) AS hits FROM v_batches GROUP BY 1) USING (job_id)

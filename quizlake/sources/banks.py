@@ -62,13 +62,15 @@ def existing_or_default(jobs: DataFrame, listing: DataFrame) -> DataFrame:
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """Polish-cache files to rows; files of another version are ignored."""
+    """Polish-cache files to rows; files of another version are ignored. Every job has one in
+    a folder of its name."""
     files = spark.read.schema(
         "v int, polishByHash map<string, struct<stem:string, options:map<string,string>>>"
     ).json(path, multiLine=True)
+    job = F.regexp_extract("_metadata.file_path", "([^/]+)/[^/]+$", 1)
     return files.filter(F.col("v") == CACHE_VERSION).select(
-        F.explode("polishByHash").alias("content_hash", "entry")
-    ).select("content_hash", "entry.stem", "entry.options")
+        job.alias("job_id"), F.explode("polishByHash").alias("content_hash", "entry")
+    ).select("job_id", "content_hash", "entry.stem", "entry.options")
 
 
 def write_bank(questions: DataFrame, sources: DataFrame, frames: DataFrame, path: str, frames_dir: str = "") -> None:

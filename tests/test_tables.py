@@ -1,11 +1,13 @@
 """Skew-safe ranking, table maintenance, enrichment edges."""
 
+import json
 import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from quizlake.functions import text as tx
 from quizlake.operators import documents, enrichment, frame_filters, ranking, tables
 from quizlake.sources import banks, jobs, ocr
 
@@ -73,6 +75,71 @@ def batch(spark):
         "call_pos bigint, cache_hit boolean").withColumn("content_hash", F.col("id"))
 
 
+class Model:
+    """Replies `<stem> by <job> <batch>`, fails on every third batch, and counts its calls."""
+
+    def __init__(self):
+        self.calls = 0
+
+    def __call__(self, job, batch, stems):
+        if batch % 3 == 2:
+            return None
+        self.calls += 1
+        return [f"{s} by {job} {batch}" for s in stems]
+
+
+def polish_loop(questions, cache, size, model):
+    """The sequential rule: batch by batch, each looks into the cache that those before filled."""
+    out, hits = {}, 0
+    for job in sorted({q[0] for q in questions}):
+        known = {h: s for (j, h), s in cache.items() if j == job}
+        rows = [q for q in questions if q[0] == job]
+        for start in range(0, len(rows), size):
+            ask = []
+            for _, i, stem in rows[start : start + size]:
+                if stem in known:
+                    hits += 1
+                    out[job, i] = known[stem]
+                else:
+                    ask.append((i, stem))
+            if ask:
+                replies = model(job, start // size, [s for _, s in ask]) or [s for _, s in ask]
+                for (i, stem), reply in zip(ask, replies, strict=True):
+                    known[stem] = out[job, i] = reply
+        cache.update({(job, h): s for h, s in known.items()})
+    return out, hits
+
+
+def test_cache_fills_up_during_a_run(spark):
+    rng = random.Random(6)
+    rows = [(f"j{j}", i, f"which of {rng.randrange(9)} is it") for j in range(3) for i in range(40)]
+    df = spark.createDataFrame([(*r, f"q{r[1]}", {"A": "x"}, 0.1) for r in rows],
+                               "job_id string, q_idx bigint, stem string, id string, options map<string,string>, confidence double")
+    hashed = df.select("stem", tx.content_hash("stem", "options").alias("h")).distinct().collect()
+    stem_of = {r.h: r.stem for r in hashed}
+    old = [("j1", h, "known before", {"A": "old"}) for h, s in sorted(stem_of.items())[:2]]
+    cache = spark.createDataFrame(old, "job_id string, content_hash string, stem string, options map<string,string>")
+    model, loop_cache = Model(), {("j1", stem_of[h]): s for _, h, s, _ in old}
+    want, hits = polish_loop(rows, loop_cache, 7, model)
+
+    batches = enrichment.cleanup_batches(df, cache, "fast", 7)
+    asked = batches.filter("NOT cache_hit").orderBy("job_id", "batch_no", "call_pos").collect()
+    calls = {}
+    for r in asked:
+        calls.setdefault((r.job_id, r.batch_no), []).append(r.stem)
+    replies = []
+    for (job, number), stems in calls.items():
+        said = Model()(job, number, stems)
+        replies.append((job, number, None if said is None else json.dumps([{"stem": s} for s in said])))
+    replies = spark.createDataFrame(replies, "job_id string, batch_no bigint, reply string")
+    got = {(r.job_id, r.q_idx): r.stem for r in enrichment.polished(df, batches, replies).collect()}
+    assert got == want
+    counted = enrichment.counters(df, batches, replies, "fast").collect()
+    assert sum(r.cache_hits for r in counted) == hits and sum(r.calls for r in counted) == model.calls
+    after = {(r.job_id, stem_of[r.content_hash]): r.stem for r in enrichment.updated_cache(cache, batches, replies).collect()}
+    assert after == loop_cache
+
+
 @pytest.mark.parametrize("reply,stems", [
     ('```json\n[{"stem":"one!"},{"stem":5,"options":{"B":2,"C":null}}]\n```', ["one!", "stem two"]),
     ('[{"stem":"one!"}]', None), ('[{"stem":"a"},"x"]', None), ("not json", None), (None, None), ('{"a":1}', None),
@@ -83,7 +150,7 @@ def test_reply_validation(spark, reply, stems):
     assert [r.stem for r in rows] == (stems or [])
     if stems:
         assert rows[1].options == {"B": "2"} and rows[0].options == {"A": "x"}
-    cache = spark.createDataFrame([], "content_hash string, stem string, options map<string,string>")
+    cache = spark.createDataFrame([], "job_id string, content_hash string, stem string, options map<string,string>")
     kept = enrichment.updated_cache(cache, batch(spark), replies).count()
     assert kept == 2
     assert enrichment.updated_cache(cache, batch(spark), replies, cache_failures=False).count() == len(stems or [])
