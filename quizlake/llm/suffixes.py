@@ -389,14 +389,14 @@ def repeated(docs: DataFrame, batches: int = BATCHES, key: str = "doc_id", text:
     return held, spans
 
 
-def _merged(starts: list[int], stops: list[int]) -> list[tuple[int, int]]:
-    runs: list[list[int]] = []
-    for a, b in sorted(zip(starts, stops, strict=True)):
-        if runs and a <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], b)
-        else:
-            runs.append([a, b])
-    return [(a, b) for a, b in runs]
+def _merged(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Spans that overlap or touch as one: rows of start and stop."""
+    if not len(starts):
+        return np.zeros((0, 2), np.int64)
+    order = np.argsort(starts, kind="stable")
+    starts, stops = starts[order], np.maximum.accumulate(stops[order])
+    gap = starts[1:] > stops[:-1]
+    return np.column_stack([starts[np.append(True, gap)], stops[np.append(gap, True)]])
 
 
 def deduplicated(docs: DataFrame, batches: int = BATCHES, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -408,16 +408,11 @@ def deduplicated(docs: DataFrame, batches: int = BATCHES, key: str = "doc_id", t
 
     def remove(batch: pa.RecordBatch):
         out = ([], [], [], [], [])
-        for d, t, starts, stops in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            data = t.encode()
-            runs = _merged(starts or [], stops or [])
-            at, kept = 0, []
-            for a, b in runs:
-                kept.append(data[at:a])
-                at = b
-            kept.append(data[at:])
-            flat = [x for run in runs for x in run]
-            rest = b"".join(kept)
+        rows = zip(batch.column(0).to_pylist(), _bytes_of(batch.column(1)), _lists(batch.column(2)), _lists(batch.column(3)), strict=True)
+        for d, data, starts, stops in rows:
+            flat = _merged(starts, stops).ravel().tolist()
+            edges = [0, *flat, len(data)]
+            rest = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
             for column, value in zip(out, (d, len(data), flat, rest, rest.decode("utf-8", "ignore")), strict=True):
                 column.append(value)
         yield out
