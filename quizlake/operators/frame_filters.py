@@ -4,14 +4,17 @@ Both filters remember the last *kept* frame, so a frame's fate depends on all be
 What follows a kept frame depends on that frame alone, so a long job is cut into chunks of
 consecutive frames that are folded in parallel:
 
-1. every chunk is folded with the entry state its predecessor left when that one was folded
-   from scratch (a guess);
-2. chunks whose entry state turned out different are folded again, until no entry state
-   changes. Runs that keep the same frame coincide from there on, so this settles after two
-   or three rounds; only chunks that kept nothing pass a correction on.
+1. every chunk is folded from scratch;
+2. a chunk is folded again wherever its entry state is not the one it was folded with. The
+   entry state is what the nearest chunk before it has left that kept a frame of its own;
+   chunks that kept none pass on what they were given, so a run of them, however long, gets
+   its correction at once. Chunks that keep a frame mostly keep the same one from there on,
+   so this settles after two or three rounds.
 
 The first chunk of every job is right from the start and each round settles at least one
 more, so the fixed point is the sequential result. No task ever holds more than one chunk.
+Features are stored once, before the first fold; between chunks only numbers are compared,
+and the grid of a kept frame is fetched for the chunks that are folded again.
 """
 
 from __future__ import annotations
@@ -108,18 +111,21 @@ def sequential_filter(
     cooldown may be columns that are constant per job."""
     features = _with_params(features, threshold, cooldown).withColumn("chunk", span("frame_idx", chunk))
     # A NULL in a 64-bit column would turn the pandas column into floats and lose bits.
-    features = features.withColumn("phash", F.coalesce("phash", F.lit(0).cast("bigint")))
+    features = cut(features.withColumn("phash", F.coalesce("phash", F.lit(0).cast("bigint"))))
     key = ["job_id", "chunk"]
     job_type = features.schema["job_id"].dataType.simpleString()
 
     def exits(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame_idx")
         fold = _fold_for(pdf, smart)
+        given = fold.idx
         fold_rows(fold, pdf)
         return pd.DataFrame(
             {
                 "job_id": [pdf["job_id"].iloc[0]],
                 "chunk": [pdf["chunk"].iloc[0]],
+                "given_idx": pd.array([given], dtype="Int64"),
+                "own": [fold.idx != given],
                 "kept_idx": pd.array([fold.idx], dtype="Int64"),
                 "kept_hash": pd.array([fold.hash], dtype="Int64"),
                 "kept_sec": pd.array([fold.sec], dtype="Float64"),
@@ -142,26 +148,8 @@ def sequential_filter(
     empty = [F.lit(None).cast(t).alias(n) for n, t in (f.split(" ") for f in STATE.split(", "))]
     chunks = features.select(*key).distinct()
     entry = chunks.select(*key, *empty)
-    several = chunks.groupBy("job_id").count().filter("count > 1").limit(1).count() > 0
-    if several:
-        exit_schema = f"job_id {job_type}, chunk bigint, {STATE}"
-        # The last kept index identifies a state; grids only travel with it.
-        before = Window.partitionBy("job_id").orderBy("chunk")
-        state_cols = [c.split(" ")[0] for c in STATE.split(", ")]
-        entry = cut(entry)
-        left = cut(run(entry, exits, exit_schema))
-        while True:
-            fresh = left.select(*key, *[F.lag(c).over(before).alias(c) for c in state_cols])
-            changed = cut(
-                fresh.join(entry.select(*key, F.col("kept_idx").alias("_old")), key)
-                .filter(~F.col("kept_idx").eqNullSafe(F.col("_old")))
-                .drop("_old")
-            )
-            if not changed.limit(1).count():
-                break
-            redone = run(changed, exits, exit_schema)
-            left = cut(left.join(changed.select(*key), key, "left_anti").unionByName(redone))
-            entry = cut(entry.join(changed.select(*key), key, "left_anti").unionByName(changed))
+    if chunks.groupBy("job_id").count().filter("count > 1").limit(1).count():
+        entry = _entries(run, entry, exits, f"job_id {job_type}, chunk bigint, given_idx bigint, own boolean, {STATE}")
     return run(
         entry,
         decisions,
@@ -169,6 +157,25 @@ def sequential_filter(
     )
 
 
+def _entries(run, entry: DataFrame, exits, schema: str) -> DataFrame:
+    """The entry state of every chunk (see above)."""
+    key = ["job_id", "chunk"]
+    left = cut(run(entry, exits, schema))
+    before = Window.partitionBy("job_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    state = [F.col(c.split(" ")[0]) for c in STATE.split(", ")]
+    while True:
+        # The last kept index identifies a state.
+        own = F.when(F.col("own"), F.struct("chunk", "kept_idx"))
+        found = left.select(*key, "given_idx", F.last(own, ignorenulls=True).over(before).alias("_from"))
+        changed = cut(found.filter(~F.col("_from.kept_idx").eqNullSafe(F.col("given_idx"))).select(*key, F.col("_from.chunk").alias("_chunk")))
+        grids = left.select(F.col("job_id"), F.col("chunk").alias("_chunk"), *state)
+        if not changed.limit(1).count():
+            entry = found.select(*key, F.col("_from.chunk").alias("_chunk"))
+            return entry.join(grids, ["job_id", "_chunk"], "left").drop("_chunk")
+        redone = run(changed.join(grids, ["job_id", "_chunk"]).drop("_chunk"), exits, schema)
+        left = cut(left.join(changed.select(*key), key, "left_anti").unionByName(redone))
+
+
 def grid_features(grids: DataFrame) -> DataFrame:
     """Features of stored luma grids; a missing grid stands for an undecodable image."""
     mean, std = ff.grid_mean("grid"), ff.grid_std("grid")

@@ -66,6 +66,20 @@ def test_filters_match_the_loop(spark, smart, chunk, still):
     assert got == sequential(rows, smart)
 
 
+def test_static_chunks_settle_in_few_rounds(spark, monkeypatch):
+    """64 chunks without a change, behind one that drifts: every chunk passes its entry on."""
+    rows = make_frames(4, 10, jobs=("a",))
+    h, roi = rows[0][5] or 1, [1.0] * 16
+    rows += [("a", i, float(i - 1), True, False, h ^ (1 << (i % 3)), roi) for i in range(11, 331)]
+    rounds = []
+    stored = fl.cut
+    monkeypatch.setattr(fl, "cut", lambda df: rounds.append(1) or stored(df))
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {(r.job_id, r.frame_idx): r.accepted for r in fl.smart_filter(df, chunk=5).collect()}
+    assert got == {k: v[0] for k, v in sequential(rows, True).items()}
+    assert len(rounds) <= 2 + 2 * 7  # features, first fold, and two tables a round
+
+
 def test_counters_cover_every_frame(spark):
     rows = make_frames(3, 40)
     decisions = fl.smart_filter(spark.createDataFrame(rows, SCHEMA))
