@@ -13,6 +13,7 @@ from quizlake.operators.ranking import ordinal, span, top_n
 # --- fixed values -----------------------------------------------------------------
 RETAINED_JOBS, LOG_ROWS, LOG_ROWS_SHOWN, RECENT_JOBS, RECOVERED_JOBS = 20, 1000, 40, 10, 50
 ITEMS_PER_PAGE = 2
+RESTART_ERROR, RESTART_PROGRESS = "Job interrupted by app restart.", "Interrupted on restart"
 # -----------------------------------------------------------------------------------
 
 
@@ -59,6 +60,24 @@ def recover_interrupted(jobs: DataFrame, message: str = "Interrupted", n: int =
     return newest.withColumn("state", F.lit("failed")).withColumn("error_message", F.lit(message))
 
 
+def recovered(jobs: DataFrame, logs: DataFrame | None = None, n: int = RECOVERED_JOBS) -> tuple[DataFrame, DataFrame | None]:
+    """The job table after a restart, and the log (job_id, seq, stage, message) if given: the
+    newest `n` jobs that never reached a final state are failed, and each gets one more log
+    row. At most `n` ids are repaired, so they may be broadcast."""
+    repaired = recover_interrupted(jobs, RESTART_ERROR, n).select("job_id", F.lit(True).alias("_hit"))
+    state = {"state": "failed", "error_message": RESTART_ERROR, "error_code": "unknown", "progress_message": RESTART_PROGRESS}
+    marked = jobs.join(F.broadcast(repaired), "job_id", "left")
+    for name, value in state.items():
+        if name in jobs.columns:
+            marked = marked.withColumn(name, F.when(F.col("_hit"), F.lit(value)).otherwise(F.col(name)))
+    if logs is None:
+        return marked.drop("_hit"), None
+    last = logs.join(F.broadcast(repaired), "job_id", "left_semi").groupBy("job_id").agg(F.max("seq").alias("_last"))
+    fresh = repaired.join(last, "job_id", "left").select(
+        "job_id", (F.coalesce("_last", F.lit(0)) + 1).alias("seq"), F.lit("failed").alias("stage"), F.lit(RESTART_ERROR).alias("message"))
+    return marked.drop("_hit"), logs.unionByName(fresh)
+
+
 def newest_logs(logs: DataFrame, n: int = LOG_ROWS) -> DataFrame:
     return top_n(logs, ["job_id"], [F.desc("seq")], n, F.col("seq"))
 
