@@ -27,8 +27,8 @@ SHARD_ROWS, QUERY_ROWS, STEP_ROWS = 8192, 512, 1024
 #: score to the k-th best. 1 would be the most terms allowed; with dense vectors a traversal of
 #: few more postings is far cheaper than a probe of very many candidates.
 SPLIT = 0.2
-#: Components beyond this could overflow a long score; such vectors take no part.
-LARGEST = 2**28
+#: Scores up to here are exact in doubles, and so are the bounds that prune.
+EXACT = 2.0**52
 
 
 class Best:
@@ -55,14 +55,32 @@ class Best:
         self.q, self.score, self.key = q[keep], score[keep], key[keep]
 
 
+def plain_scores(queries: np.ndarray, values: np.ndarray, most: float, own: np.ndarray) -> np.ndarray:
+    """All scores in integers, where doubles would round them; 0 for a vector with itself."""
+    if most < 2.0**62:
+        return queries.astype(np.int64) @ values.astype(np.int64).T
+    ints = np.frompyfunc(int, 1, 1)
+    scores = np.where(own, 0, ints(queries) @ ints(values).T)
+    if (np.abs(scores) >= 2**63).any():
+        raise OverflowError("a score does not fit 64 bits")
+    return scores.astype(np.int64)
+
+
 def search(queries: np.ndarray, query_keys: np.ndarray, values: np.ndarray, keys: np.ndarray, best: Best) -> None:
-    """Put the candidates of one shard (`values`, whole numbers) against all `queries`."""
+    """Put the candidates of one shard (`values`, whole numbers) against all `queries`. Where
+    scores are too large for exact bounds, nothing is pruned."""
     most = np.abs(queries).max(initial=0) * np.abs(values).max(initial=0) * queries.shape[1]
-    kind = np.float32 if most < 2**23 else np.float64 if most < 2**52 else np.int64
+    kind = np.float32 if most < 2**23 else np.float64
     rows = np.arange(len(queries))
     weights = queries.astype(kind)
     for at in range(0, len(values), STEP_ROWS):
         part, part_keys = values[at : at + STEP_ROWS].astype(kind), keys[at : at + STEP_ROWS]
+        if not most < EXACT:
+            own = query_keys[:, None] == part_keys
+            scores = plain_scores(queries, values[at : at + STEP_ROWS], most, own)
+            q, c = np.nonzero(~own)
+            best.add(rows[q], scores[q, c], part_keys[c])
+            continue
         low, high = part.min(0), part.max(0)
         least = np.minimum(queries * low, queries * high).astype(np.float64)
         greatest = np.maximum(queries * low, queries * high).astype(np.float64)
@@ -96,7 +114,12 @@ def search(queries: np.ndarray, query_keys: np.ndarray, values: np.ndarray, keys
 
 def scaled(vector: str, scale: float) -> Column:
     """floor(scale * x) of every component, x as a double."""
-    return F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double"))
+
+    def floor(x: Column) -> Column:
+        y = F.lit(scale) * x.cast("double")
+        return F.when(F.abs(y) < EXACT, F.floor(y).cast("double")).otherwise(y)  # larger ones are whole
+
+    return F.transform(vector, floor)
 
 
 def top_k(
@@ -110,14 +133,14 @@ def top_k(
     """For every row where `is_query` holds, the k other rows of greatest inner product of the
     scaled, floored components: query_id, rank (from 1), `key`, score; ties to the smaller key.
 
-    Vectors that are null, empty, hold null or non-finite components (or ones beyond 2^28
-    after scaling), or have no key, take no part. Rows that repeat a key count once (the
-    greatest vector); shorter vectors end in zeros. No candidate is skipped.
+    Vectors that are null, empty, hold null or non-finite components, or have no key, take no
+    part. Rows that repeat a key count once (the greatest vector); shorter vectors end in zeros.
+    No candidate is skipped; a score that does not fit a long raises. An empty table, or one
+    without queries, gives no rows. Other columns play no part.
     """
     rows = (
         vectors.filter(F.col(key).isNotNull() & finite(vector))
         .select(F.col(key).cast("bigint").alias("key"), is_query.alias("_q"), scaled(vector, scale).alias("values"))
-        .filter(F.forall("values", lambda x: F.abs(x) <= LARGEST))
         .groupBy("key")
         .agg(F.max("values").alias("values"), F.max("_q").alias("_q"))
         .withColumn("count", F.lit(1).cast("bigint"))

@@ -144,12 +144,13 @@ def read_file(content: bytes) -> tuple[list[int | None], list[np.ndarray]]:
 def write_files(
     ids: DataFrame, path: str, vocabulary_size: int, key: str = "doc_id", file_ids: int = FILE_IDS
 ) -> DataFrame:
-    """Write `ids` (`key`, ids) as token files in ascending order of `key` (null first) and
-    return the stored manifest: file, documents, ids, base (ids in the files before it).
+    """Write `ids` (`key`, ids) as token files in ascending order of `key` (null first; rows of
+    one key by a hash of their ids, then the ids) and return the stored manifest: file, documents, ids, base (ids in the files before it).
     `ids` is read more than once: hand in a stored table."""
     kind = id_type(vocabulary_size)
     table = frequency_ranked(ids, kind)
     put_file(f"{path}/rank.table", table.tobytes())
+    put_file(f"{path}/files/_made", b"")  # the folder is there without documents, too
     rank = np.zeros(int(table.max()) + 1 if len(table) else 1, np.uint32)
     rank[table] = np.arange(len(table), dtype=np.uint32)
 
@@ -179,7 +180,9 @@ def write_files(
         if rows:
             yield flush()
 
-    ordered = ids.select(key, "ids").repartitionByRange(F.col(key)).sortWithinPartitions(key)
+    # The hash also parts a key that very many rows repeat.
+    ordered = ids.select(key, "ids", F.xxhash64("ids").alias("_hash")).repartitionByRange(key, "_hash")
+    ordered = ordered.sortWithinPartitions(key, "_hash", "ids").select(key, "ids")
     manifest = stored(ordered.mapInArrow(write, "file string, documents bigint, ids bigint"), "token-manifest")
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     return manifest.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)))
@@ -187,8 +190,8 @@ def write_files(
 
 def read_files(spark: SparkSession, path: str, manifest: DataFrame, key: str = "doc_id") -> DataFrame:
     """The documents of all files: `key`, start (ids of all documents before it), ids."""
-    table = spark.read.format("binaryFile").load(f"{path}/rank.table").select("content").first()[0]
-    id_of = np.frombuffer(bytes(table), np.uint32)
+    table = spark.read.format("binaryFile").load(f"{path}/rank.table").select("content").first()
+    id_of = np.frombuffer(bytes(table[0]) if table else b"", np.uint32)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,6 +210,6 @@ def read_files(spark: SparkSession, path: str, manifest: DataFrame, key: str = "
     files = spark.read.format("binaryFile").load(f"{path}/files").select(
         F.element_at(F.split("path", "/"), -1).alias("file"), "content"
     )
-    # The contents stay where they are read; the manifest has one short row per file.
-    held = files.join(F.broadcast(manifest.select("file", "base")), "file").select("base", "content")
+    # The manifest has one short row per file; where it is small enough, Spark broadcasts it.
+    held = files.join(manifest.select("file", "base"), "file").select("base", "content")
     return held.mapInArrow(read, f"`{key}` bigint, start bigint, ids binary")

@@ -39,6 +39,8 @@ def record_types(pages: DataFrame, least: int = LEAST_BYTES, key: str = "page_id
     The digests of repeated payloads are grouped with partial counts, so a payload that
     fills a third of the table is one short row per task; the join back may split it.
     Null html is the empty payload. A row without a key takes part but is never referred to.
+    Rows that repeat a key are records of their own; with the payload of the referred page,
+    they are responses too. An empty table gives no rows; other columns play no part.
     """
     payload = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(
@@ -66,8 +68,9 @@ def record_types(pages: DataFrame, least: int = LEAST_BYTES, key: str = "page_id
     )
 
 
-def record_id(key: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{key}')}>"
+def record_id(key: int | None, digest: str) -> str:
+    """Id of a record; pages that repeat a key or have none differ by their payload."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{key}:{digest}')}>"
 
 
 def record_bytes(key, url, payload: bytes, digest: str, size: int, refers_to, date: str = DATE) -> bytes:
@@ -75,7 +78,7 @@ def record_bytes(key, url, payload: bytes, digest: str, size: int, refers_to, da
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {record_id(key)}",
+        f"WARC-Record-ID: {record_id(key, digest)}",
         f"WARC-Date: {date}",
         "Content-Type: application/http;msgtype=response",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -86,7 +89,7 @@ def record_bytes(key, url, payload: bytes, digest: str, size: int, refers_to, da
     if key is not None:
         head.append(f"X-Page-Id: {key}")
     if refers_to is not None:
-        head += [f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page: {refers_to}", f"WARC-Profile: {PROFILE}"]
+        head += [f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page: {refers_to}", f"WARC-Profile: {PROFILE}"]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
     head.append(f"Content-Length: {len(block)}")
@@ -145,7 +148,9 @@ def write_bundles(
     level: int = 3,
 ) -> DataFrame:
     """Write the rows of `record_types` as bundles in `path`; returns the index rows
-    (`key`, bundle, frame, offset, length), which are made as the files are: store them."""
+    (`key`, bundle, frame, offset, length), which are made as the files are: store them.
+    No records leave an empty folder."""
+    put_file(f"{path}/_bundles", b"")
     key_type = records.schema[key].dataType.simpleString()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 from quizlake.llm import packing, piece_codec, token_files
 from quizlake.llm.common import scratch, stored
-from quizlake.llm.queries import BYTE_VOCABULARY, PIECE_MODEL, WORD_VOCABULARY
+from quizlake.llm.queries import BYTE_VOCABULARY, PIECE_MODEL, QUERIES, WORD_VOCABULARY
 from quizlake.llm.word_ids import word_ids
 
 SIGNS = "aeiou tHE  \n\t▁ñ漢字😀.,;(){}*#-—''\"0123456789_\x00​é ﬁ//==<>s>unkΣσİ²½\x85\x1c\x01"
@@ -88,6 +88,22 @@ def test_token_files_of_no_documents(spark):
     assert manifest.count() == 0
 
 
+def test_token_file_query_of_no_documents_and_of_repeated_ids(spark, tmp_path):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert QUERIES["op10_token_files"](spark, f"{tmp_path}/none").count() == 0
+    rows = [(k, t, "en", "s", 1) for k in (5, 5, 5, None, None, 2) for t in ("one", "two words", "one", "and three more")]
+    results = []
+    for n, parts in enumerate((1, 7)):
+        spark.createDataFrame(rows, schema).repartition(parts).write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        got = QUERIES["op10_token_files"](spark, f"{tmp_path}/{n}").collect()
+        results.append(sorted((r.start, r.doc_id is None, r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in got))
+    assert results[0] == results[1] and len(results[0]) == len(rows)
+    starts = [r[0] for r in results[0]]
+    assert starts == [0, *np.cumsum([r[3] for r in results[0]])[:-1].tolist()]
+    assert [r[1:3] for r in results[0]] == [(True, 0)] * 8 + [(False, 2)] * 4 + [(False, 5)] * 12
+
+
 def test_pieces_and_packing(spark):
     some = [t or "" for t in texts()[-300:]]
     df = spark.createDataFrame([(i, t or None, 0) for i, t in enumerate(some)] + [(None, "no key", 0)], "doc_id bigint, text string, length int")

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quizlake.llm import maxscore, near_vectors
@@ -45,6 +46,24 @@ def test_search_of_large_components(spark):
     assert got == [(20, d, -s) for s, d in best]
 
 
+@pytest.mark.parametrize("size", [1e9, 3e7, 2e4])
+def test_search_keeps_vectors_of_any_size(spark, size):
+    rows = [(0, [size, 1.0]), (1, [min(size, 1e7) / 2, -3.0]), (2, [-2.0, 7.0]), (3, [0.5, 0.25])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in maxscore.top_k(df, F.col("vec_id") == 0, 5).orderBy("rank").collect()]
+    ints = {k: [int(np.floor(64 * x)) for x in v] for k, v in rows}
+    want = sorted((-sum(a * b for a, b in zip(ints[0], ints[k], strict=True)), k) for k in (1, 2, 3))
+    if -want[0][0] >= 2**63:
+        raise AssertionError("the case must fit a long")
+    assert got == [(k, -s) for s, k in want]
+
+
+def test_search_raises_rather_than_rounds(spark):
+    df = spark.createDataFrame([(0, [1e12]), (1, [1e12])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        maxscore.top_k(df, F.col("vec_id") == 0, 5).collect()
+
+
 def brute(rows, least):
     real = [(r[0], np.pad(np.array(r[1], float), (0, 16 - len(r[1])))) for r in rows if whole(r) and any(r[1])]
     links = {d: [] for d, _ in real}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from quizlake.llm import stages, warc
 from quizlake.llm.common import scratch
+from quizlake.llm.queries import QUERIES
 from tests_llm_data import documents, labels
 
 
@@ -40,6 +41,18 @@ def test_warc_of_no_pages(spark):
     assert warc.write_bundles(warc.record_types(df), scratch(spark, "warc")).count() == 0
 
 
+def test_query_of_no_pages_and_of_repeated_ids(spark, tmp_path):
+    schema = "page_id bigint, url string, html string"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/pages.parquet")
+    assert QUERIES["op8_warc"](spark, f"{tmp_path}/none").count() == 0
+    big = "x" * 1500
+    rows = [(7, "a", big), (7, "b", big), (7, "c", "other"), (3, "d", big), (None, "e", big), (None, "f", "small")]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/some/pages.parquet")
+    got = sorted((r.page_id or -1, r.payload_bytes, r.record_type, r.refers_to or -1) for r in QUERIES["op8_warc"](spark, f"{tmp_path}/some").collect())
+    assert got == [(-1, 5, "response", -1), (-1, 1500, "revisit", 7), (3, 1500, "revisit", 7), (7, 5, "response", -1),
+                   (7, 1500, "response", -1), (7, 1500, "response", -1)]
+
+
 def test_stages(spark, tmp_path):
     docs, marks = documents(), labels()
     spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
