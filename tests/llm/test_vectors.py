@@ -48,7 +48,7 @@ def test_search_of_large_components(spark):
 
 @pytest.mark.parametrize("size", [1e9, 3e7, 2e4])
 def test_search_keeps_vectors_of_any_size(spark, size):
-    rows = [(0, [size, 1.0]), (1, [min(size, 1e7) / 2, -3.0]), (2, [-2.0, 7.0]), (3, [0.5, 0.25])]
+    rows = [(0, [size, 1.0]), (1, [min(size, 1e6) / 2, -3.0]), (2, [-2.0, 7.0]), (3, [0.5, 0.25])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     got = [(r.vec_id, r.score) for r in maxscore.top_k(df, F.col("vec_id") == 0, 5).orderBy("rank").collect()]
     ints = {k: [int(np.floor(64 * x)) for x in v] for k, v in rows}
