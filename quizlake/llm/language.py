@@ -40,9 +40,9 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all letter n-grams of `texts`, the number of the text each belongs to, and
     whether a text has a letter. Case is folded; what lies between letters is one space."""
     low = [t.lower() for t in texts]
-    code = np.frombuffer("\n".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
+    code = np.frombuffer("".join(t + "\n" for t in low).encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.fromiter(map(len, low), np.int64, len(low))
-    text = np.repeat(np.arange(len(low), dtype=np.int32), sizes + 1)[: len(code)]
+    text = np.repeat(np.arange(len(low), dtype=np.int32), sizes + 1)
     letter = letters()[code]
     some = np.zeros(len(low), bool)
     some[text[letter]] = True
