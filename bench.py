@@ -14,7 +14,7 @@ HEADLINE = (
     "top_stems", "normalize_ocr", "frequency_keys", "best_frames", "question_flags", "classify_lines",
     "extract_questions", "route_questions", "merge_wrapped_lines", "smart_filter", "log_retention", "upsert_latest",
     "sample_interval", "throttle_latest", "illegal_transitions", "job_with_children", "polished_bank",
-    "collapse_jaccard", "validate_replies", "answer_key",
+    "collapse_jaccard", "validate_replies", "answer_key", "question_bank", "dup_groups_edit", "dedupe_token_sort",
 )
 
 
