@@ -1,5 +1,7 @@
 """Image folder to decisions, and stream = batch."""
 
+import json
+import random
 import struct
 import zlib
 
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quizlake.operators import events as event_ops
 from quizlake.operators import frame_filters as fl
-from quizlake.sources import images, jobs
+from quizlake.sources import banks, images, jobs, ocr
 from quizlake.streaming import frames as stream_frames
 from quizlake.streaming import progress
 from tests.test_frames import SCHEMA, make_frames
@@ -87,3 +89,60 @@ def test_throttle_stream_emits_closed_buckets(rocks, tmp_path):
     assert got
     for r in got:
         assert batch[round(r.bucket_start.timestamp() * 1000)] == (r.seq, r.stage)
+
+
+def sent(events, millis, wait):
+    """One job's events in order, as a timer and a listener would handle them."""
+    out, last, held = [], None, None
+    for ts, seq, stage in events:
+        if held and last + millis <= ts:
+            last += millis
+            out.append((*held, last))
+            held = None
+        if last is None or ts - last >= millis:
+            last = ts
+            out.append((seq, stage, ts))
+        elif wait:
+            held = (seq, stage)
+    return out + ([(*held, last + millis)] if held else [])
+
+
+@pytest.mark.parametrize("wait", [True, False])
+def test_timed_throttle_equals_the_loop(rocks, tmp_path, wait):
+    rng = random.Random(5)
+    rows, clock = [], 0
+    for seq in range(240):
+        clock += rng.choice([5, 40, 90, 300, 1500])
+        rows.append((rng.choice("abc"), seq, f"s{seq % 7}", clock))
+    rows += [(job, 900, "end", clock + 10_000) for job in "abc"]
+    rows += [("z", 901, "later", clock + 40_000)]  # moves the watermark past all of them
+    for part in range(4):
+        some = rows[part * 61 : (part + 1) * 61]
+        df = rocks.createDataFrame(some, "job_id string, seq bigint, stage string, ms bigint")
+        df.select("job_id", "seq", "stage", F.timestamp_millis("ms").alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = rocks.readStream.schema("job_id string, seq bigint, stage string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    timed = progress.throttle_timed(stream) if wait else progress.broadcast_stream(stream)
+    got = run_stream(timed, tmp_path)
+    millis = event_ops.PROGRESS_MILLIS if wait else event_ops.PIPELINE_MILLIS
+    for job in "abc":
+        want = sent([(ms, seq, stage) for j, seq, stage, ms in rows if j == job], millis, wait)
+        assert sorted((r.seq, r.stage, r.sent_ms) for r in got if r.job_id == job) == sorted(want)
+
+
+def test_text_files_of_jobs(spark, tmp_path):
+    """Bundles, word tables and polish caches, one folder per job."""
+    for job in ("j1", "j2"):
+        (tmp_path / job).mkdir()
+        (tmp_path / job / "bundle.json").write_text(json.dumps([{"name": "a.png", "text": f"text of {job}"}, "odd", {"meanConfidence": "12.5"}]))
+        cache = {"v": 1, "polishByHash": {"h": {"stem": f"s {job}", "options": {"A": "x"}}}}
+        (tmp_path / job / "cache.json").write_text(json.dumps(cache if job == "j1" else cache | {"v": 2}))
+        words = ["\t".join(["level"] + ["0"] * 9 + ["conf", "text"]), "\t".join(["5"] + ["0"] * 9 + ["90.5", "Hello"]), "short\trow",
+                 "\t".join(["5"] + ["0"] * 9 + ["-1", "ghost"]), "\t".join(["4"] + ["0"] * 9 + ["80", ""])]
+        (tmp_path / job / "frame_1.tsv").write_text("\n".join(words))
+    got = {(r.job_id, r.frame_idx): (r.name, r.ocr_text, r.ocr_confidence) for r in ocr.read_bundles(spark, str(tmp_path / "*" / "bundle.json")).collect()}
+    assert got == {(j, i): v for j in ("j1", "j2") for i, v in enumerate([("a.png", f"text of {j}", 70.0), ("frame_1", "", 12.5)])}
+    rows = banks.read_cache(spark, str(tmp_path / "*" / "cache.json")).collect()
+    assert [(r.job_id, r.content_hash, r.stem, r.options) for r in rows] == [("j1", "h", "s j1", {"A": "x"})]
+    words = ocr.read_word_tables(spark, str(tmp_path / "*" / "frame_1.tsv"))
+    text = ocr.words_to_text(words, ("path",)).collect()
+    assert sorted((r.text, r.mean_confidence) for r in text) == [("Hello", 90.5), ("Hello", 90.5)]
