@@ -38,7 +38,7 @@ CHUNK, OVERLAP = 16_384, 1_024
 #: What the pattern finds is decided by the match and so many characters behind it.
 LOOK_AHEAD = 3
 KEPT, LONG = 120_000, 64
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 @lru_cache(2)
