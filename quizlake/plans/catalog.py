@@ -687,7 +687,7 @@ def polish_cache(spark, sf_dir):
 @query
 def finalize_calls(spark, sf_dir):
     """Calls of an exam run: clean-up as routed, and one call per batch of the answer key."""
-    bank_rows = plain_bank(spark, sf_dir)
+    bank_rows = cut(plain_bank(spark, sf_dir))
     sources = bank_rows.select("job_id", "q_idx", F.col("frame_idx").cast("string").alias("source_frame"))
     out = enrichment.finalize(bank_rows, sources, "exam", cached_polish(bank_rows), lambda kind, asked: reply_table(asked, kind))
     return out["counters"].select("job_id", "calls", "cache_hits", "skipped")
