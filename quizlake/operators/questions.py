@@ -38,8 +38,13 @@ LINE_BITS = 24
 
 
 def draft_order(frame_idx: Column, line_no: Column) -> Column:
-    """One sortable number per draft: frame, then first line inside the frame."""
-    return F.shiftleft(frame_idx.cast("bigint"), LINE_BITS).bitwiseOR(line_no.cast("bigint"))
+    """One sortable number per draft: frame, then first line inside the frame. Numbers that do
+    not fit raise, rather than meet those of another frame."""
+    frame, line = frame_idx.cast("bigint"), line_no.cast("bigint")
+    fits = (F.shiftright(line, LINE_BITS) == 0) & (F.shiftright(frame, 63 - LINE_BITS) == 0)
+    order = F.shiftleft(frame, LINE_BITS).bitwiseOR(line)
+    return F.when(fits | frame.isNull() | line.isNull(), order).otherwise(
+        F.raise_error("a frame or line number is too large for the draft order").cast("bigint"))
 
 
 def frame_confidence(mean: Column) -> Column:

@@ -150,6 +150,36 @@ def encode_jobs(spark, sf_dir):
     return job_rows.encode_requests(decoded)
 
 
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'mode_a' WHEN 1 THEN 'mode_b' END AS mode_used,
+ event_id % 4 = 1 AS fallback_required,
+ CASE WHEN event_type = 'error' AND event_id % 5 <> 0 THEN 'unknown' END AS error_code,
+ CASE WHEN event_type = 'error' AND event_id % 5 <> 0 THEN concat('m', event_id) END AS error_message,
+ CASE WHEN event_id % 6 = 0 THEN 0 ELSE value END AS progress_percent,
+ CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 6 = 0 THEN 0 ELSE value * 2 END AS video_duration_sec,
+ CASE event_id % 4 WHEN 0 THEN 'mcq_hunter' WHEN 1 THEN 'full_lecture' WHEN 2 THEN NULL END AS extraction_preset,
+ CASE WHEN event_id % 9 > 2 THEN value END AS interval_sec, CASE WHEN event_id % 9 > 5 THEN 3.5::DOUBLE END AS cooldown_sec FROM events""")
+def job_columns(spark, sf_dir):
+    """Job rows as they are stored, with unknown modes and presets, halves of errors, numbers
+    that are none, and broken capture settings."""
+    i = F.col("event_id")
+    nan = F.when(i % 6 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    capture = F.concat(
+        F.lit('{"fpsIntervalSeconds":'), F.col("value").cast("string"),
+        F.when(i % 9 > 5, F.lit(',"cooldownSeconds":3.5}')).otherwise(F.lit(',"cooldownSeconds":"soon"}')))
+    rows = v.table(spark, sf_dir, "events").select(
+        "event_id",
+        F.when(i % 3 == 0, F.lit("mode_a")).when(i % 3 == 1, F.lit("mode_b")).otherwise(F.lit("mode_x")).alias("mode_used"),
+        (i % 4).alias("fallback_required"),
+        F.when((F.col("event_type") == "error") & (i % 5 != 0), F.lit("unknown")).alias("error_code"),
+        F.concat(F.lit("m"), i.cast("string")).alias("error_message"),
+        nan.alias("progress_percent"),
+        F.when(i % 7 != 0, nan * 2).alias("video_duration_sec"),
+        F.when(i % 4 == 0, F.lit("mcq_hunter")).when(i % 4 == 1, F.lit("other")).when(i % 4 == 2, F.lit("")).alias("extraction_preset"),
+        F.when(i % 9 > 2, capture).when(i % 9 == 1, F.lit("{broken")).alias("advanced_capture_json"))
+    found = job_rows.decode_rows(rows)
+    return found.select("*", "advanced_capture.interval_sec", "advanced_capture.cooldown_sec").drop("advanced_capture")
+
+
 # --- tables and views -----------------------------------------------------------------------
 @query(_with("""SELECT job_id, version, CASE WHEN hit THEN 'failed' ELSE state END AS state,
  CASE WHEN hit THEN 'Job interrupted by app restart.' ELSE error_message END AS error_message FROM (

@@ -11,6 +11,7 @@ from quizlake.operators.events import EVENT_TYPES
 # --- fixed values -----------------------------------------------------------------
 INTERVAL_DEFAULT = 5.0
 STATE_VERSION = 1
+CAPTURE_MODES = ("mode_a", "mode_b")
 # -----------------------------------------------------------------------------------
 
 
@@ -45,6 +46,38 @@ def encode_requests(rows: DataFrame) -> DataFrame:
     )
 
 
+def decode_rows(rows: DataFrame) -> DataFrame:
+    """The job row beyond its request: unknown capture modes and empty presets are null, other
+    presets the default one, an error needs both code and message, numbers that are not finite
+    are 0 (or null where the column may be), `fallback_required` is a flag, and capture
+    settings come from their JSON, none if it is broken. Other columns stay as they are."""
+    from quizlake.operators.frame_filters import DEFAULT_PRESET, PRESETS
+
+    mode = lambda c: F.when(F.col(c).isin(*CAPTURE_MODES), F.col(c)).alias(c)
+    both = (F.coalesce("error_code", F.lit("")) != "") & (F.coalesce("error_message", F.lit("")) != "")
+    number = lambda c: F.when(F.col(c).isNotNull(), finite_or(F.col(c).cast("double"), 0.0)).alias(c)
+    zero = lambda c: finite_or(F.col(c).cast("double"), 0.0).alias(c)
+    known = F.col("extraction_preset").isin(*[p[0] for p in PRESETS])
+    preset = F.when(F.col("extraction_preset") != "", F.when(known, F.col("extraction_preset")).otherwise(F.lit(DEFAULT_PRESET)))
+    capture = F.try_parse_json("advanced_capture_json")
+    setting = lambda k: F.try_variant_get(capture, f"$.{k}", "double")
+    made = {
+        "mode_planned": mode("mode_planned"), "mode_used": mode("mode_used"),
+        "fallback_required": F.coalesce(F.col("fallback_required") == 1, F.lit(False)).alias("fallback_required"),
+        "error_code": F.when(both, F.col("error_code")).alias("error_code"),
+        "error_message": F.when(both, F.col("error_message")).alias("error_message"),
+        "progress_percent": zero("progress_percent"), "skipped_blank": zero("skipped_blank"), "skipped_duplicate": zero("skipped_duplicate"),
+        "video_duration_sec": number("video_duration_sec"), "last_mcq_count": number("last_mcq_count"),
+        "local_fps_interval_sec": number("local_fps_interval_sec"), "local_cooldown_sec": number("local_cooldown_sec"),
+        "local_smart_change_threshold": number("local_smart_change_threshold"),
+        "extraction_preset": preset.alias("extraction_preset"),
+        "advanced_capture_json": F.struct(
+            setting("fpsIntervalSeconds").alias("interval_sec"), setting("cooldownSeconds").alias("cooldown_sec"),
+            setting("changeThreshold").alias("change_threshold")).alias("advanced_capture"),
+    }
+    return rows.select(*[made.get(c, F.col(c)) for c in rows.columns])
+
+
 def learner_state(raw: Column) -> Column:
     """Versioned learner state; any fault gives the empty state, non-strings are dropped."""
     parsed = F.try_parse_json(raw)

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from quizlake.functions import text as tx
@@ -144,3 +145,12 @@ def test_scalar_text_columns(spark):
     ids = column(spark, ["abcdefghijk", "https://youtu.be/abcdefghijk?x=1", "https://www.youtube.com/embed/abcdefghijk/z",
                          "https://youtube.com/watch?a=1&v=abcdefghijk", "https://example.com/watch?v=abcdefghijk", "::"], tx.video_id)
     assert ids == ["abcdefghijk"] * 4 + [None, None]
+
+
+def test_draft_order_raises_rather_than_collides(spark):
+    df = spark.createDataFrame([(1, 5), (2**39 - 1, 2**24 - 1)], "f bigint, l bigint")
+    got = [r.o for r in df.select(q.draft_order(F.col("f"), F.col("l")).alias("o")).collect()]
+    assert got == [(1 << 24) + 5, 2**63 - 1]
+    for f, line in ((1, 2**24), (2**39, 0)):
+        with pytest.raises(Exception, match="too large"):
+            spark.createDataFrame([(f, line)], "f bigint, l bigint").select(q.draft_order(F.col("f"), F.col("l"))).collect()
