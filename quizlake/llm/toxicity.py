@@ -24,7 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quizlake.llm.common import WordRows, discard, stored, text_blocks
+from quizlake.llm.common import WordRows, discard, stored
+from quizlake.llm.common import text_blocks as blocks_of
 
 SAMPLE, FOLDS = 20_000, 3
 #: A word, or a beginning of one, is a feature if at least so many sampled texts hold it and its
@@ -36,9 +37,14 @@ PREFIXES, TIMES = (4, 6), (1, 2, 4)
 PENALTY, CLOSE = 0.01, 1e-3
 #: Bounds that a fit does not come near: rounds of new features (at most MORE each), Newton steps, sweeps.
 ROUNDS, MORE, STEPS, SWEEPS = 50, 200, 30, 200
+BLOCK = 1 << 20
 WORDS = r"[^\p{L}\p{M}\p{N}]+"
 
 
+def text_blocks(column: pa.Array) -> Iterator[pa.Array]:
+    return blocks_of(column, BLOCK)
+
+
 def _tokens(word: str) -> list[str]:
     """A word and its beginnings, marked by a sign no word holds."""
     return [word, *(f"{word[:n]}-" for n in PREFIXES if len(word) > n)] if word else []
@@ -107,10 +113,11 @@ class Rows:
         return np.concatenate([np.bincount(self.feature, r[self.row], self.features), r @ self.dense])
 
     def columns(self, which: np.ndarray) -> np.ndarray:
-        """Some features as dense columns."""
+        """Some features as dense columns, and a column of ones."""
         place = np.full(self.features + self.dense.shape[1], -1)
         place[which] = np.arange(len(which))
-        out = np.zeros((self.n, len(which)))
+        out = np.zeros((self.n, len(which) + 1))
+        out[:, -1] = 1
         at = place[self.feature]
         out[self.row[at >= 0], at[at >= 0]] = 1
         beside = which[which >= self.features]
@@ -145,7 +152,9 @@ def linear(rows: Rows, y: np.ndarray, use: np.ndarray) -> np.ndarray:
             break
         new = new[np.argsort(-over[new], kind="stable")[:MORE]]
         active = np.union1d(np.flatnonzero(w), new)
-        z = np.column_stack([(rows.columns(active) - mean[active]) * scale[active], np.ones(rows.n)])
+        z = rows.columns(active)
+        z[:, :-1] -= mean[active]
+        z[:, :-1] *= scale[active]
         v = _settled(z, y, share, np.append(w[active], b))
         w[active], b, margin = v[:-1], float(v[-1]), z @ v
     v = w * scale
@@ -163,7 +172,11 @@ def _settled(z: np.ndarray, y: np.ndarray, share: np.ndarray, v: np.ndarray) ->
     now = cost(v, margin)
     for _ in range(STEPS):
         p = _chance(margin)
-        slope, bend = z.T @ (share * (p - y)), (z * (share * p * (1 - p))[:, None]).T @ z
+        slope, weight = z.T @ (share * (p - y)), share * p * (1 - p)
+        bend = np.zeros((len(v), len(v)))
+        for at in range(0, len(z), 1024):  # some rows at a time: no second copy of them all
+            part = z[at : at + 1024]
+            bend += (part * weight[at : at + 1024, None]).T @ part
         bend[np.diag_indices(len(v))] += 1e-9
         to = _descended(bend, slope - bend @ v, penalty, v)
         step, move = 1.0, z @ (to - v)
