@@ -132,16 +132,21 @@ def numbered_tokens(tokens: Column) -> Column:
 
         return bound(F.filter(starts, lambda i: i.isNotNull()), number)
 
-    return bound(F.array_sort(tokens), runs)
+    return bound(F.sort_array(tokens), runs)
 
 
-def multiset_jaccard(a: Column, b: Column) -> Column:
-    """Jaccard of two token arrays as multisets; two empty arrays score 1."""
-    inter = F.size(F.array_intersect(numbered_tokens(a), numbered_tokens(b)))
+def numbered_jaccard(a: Column, b: Column) -> Column:
+    """Jaccard of two arrays of numbered tokens; two empty arrays score 1."""
+    inter = F.size(F.array_intersect(a, b))
     total = F.size(a) + F.size(b)
     return F.when(total == 0, F.lit(1.0)).otherwise(inter / (total - inter))
 
 
+def multiset_jaccard(a: Column, b: Column) -> Column:
+    """Jaccard of two token arrays as multisets; two empty arrays score 1."""
+    return numbered_jaccard(numbered_tokens(a), numbered_tokens(b))
+
+
 def edit_ratio(a: Column, b: Column) -> Column:
     longest = F.greatest(F.length(a), F.length(b))
     return (

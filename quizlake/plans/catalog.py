@@ -317,10 +317,15 @@ def levenshtein_pairs(spark, sf_dir):
 @query
 def multiset_jaccard_pairs(spark, sf_dir):
     """Token overlap of each line with the line before it in the same frame."""
-    rows = v.lines(spark, sf_dir).select("job_id", "frame_idx", "line_no", tx.jaccard_tokens("line").alias("t"))
-    seen = previous(rows, ["job_id", "frame_idx"], "line_no", F.col("t"), span("line_no"), "before")
-    return seen.filter("before IS NOT NULL").select(
-        "job_id", "frame_idx", "line_no", F.round(tx.multiset_jaccard(F.col("t"), F.col("before")), 6).alias("jaccard")
+    # A frame is one row, so a line finds the one before it there: no line is shuffled, and its
+    # tokens are numbered once for both of its pairs.
+    rows = v.frames(spark, sf_dir).select("job_id", "frame_idx", F.transform(
+        F.split("ocr_text", "\n", -1), lambda x: tx.numbered_tokens(tx.jaccard_tokens(x))).alias("lines"))
+    pairs = F.transform("lines", lambda x, i: F.struct(x.alias("t"), F.get("lines", i - 1).alias("before")))
+    rows = rows.select("job_id", "frame_idx", F.posexplode(pairs).alias("line_no", "p")).filter("line_no > 0")
+    return rows.select(
+        "job_id", "frame_idx", F.col("line_no").cast("bigint").alias("line_no"),
+        F.round(tx.numbered_jaccard(F.col("p.t"), F.col("p.before")), 6).alias("jaccard"),
     )
 
 
