@@ -15,7 +15,7 @@ from quizlake.operators import events as event_ops
 from quizlake.operators.ranking import ordinal, previous, span
 from quizlake.plans import bank
 from quizlake.plans import views as v
-from quizlake.session import cut
+from quizlake.session import cut, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -91,7 +91,8 @@ def ocr_words_to_text(spark, sf_dir):
     """Word tables back to text and mean confidence."""
     from quizlake.sources.ocr import words_to_text
 
-    words = v.frames(spark, sf_dir).select(
+    # Frames are dealt before they become words, so that no word is shuffled.
+    words = spread(v.frames(spark, sf_dir).select("job_id", "frame_idx", "ocr_text"), "job_id", "frame_idx").select(
         "job_id", "frame_idx", F.posexplode(F.split(F.coalesce("ocr_text", F.lit("")), "[ \n]", -1)).alias("word_no", "word")
     )
     words = words.select(
