@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quizlake.functions import text as tx
 from quizlake.operators.tables import in_batches, upsert
 from quizlake.operators.views import with_topic
+from quizlake.session import cut
 
 # --- fixed values -----------------------------------------------------------------
 BATCH_DEFAULT, BATCH_MIN, BATCH_MAX = 25, 5, 40
@@ -53,10 +54,11 @@ def cleanup_batches(questions: DataFrame, cache: DataFrame, mode: str, size: int
     one calls for it (every copy in it); later copies are hits and take its answer, with
     `from_batch` naming that batch. A cache with a `job_id` is looked up per job, one without
     serves all jobs. `call_pos` numbers the calls of a batch."""
-    need = routed(questions, mode).filter("needs_cleanup").drop("needs_cleanup")
-    cut_rows = in_batches(need, "q_idx", size).withColumn(
+    # Routing and hashes are heavy and their rows are read many times over, so both are stored.
+    need = cut(routed(questions, mode).filter("needs_cleanup").drop("needs_cleanup").withColumn(
         "content_hash", tx.content_hash("stem", "options")
-    )
+    ))
+    cut_rows = in_batches(need, "q_idx", size)
     by = ["job_id", "content_hash"] if "job_id" in cache.columns else ["content_hash"]
     hits = cache.select(
         *by, F.col("stem").alias("cached_stem"), F.col("options").alias("cached_options"), F.lit(True).alias("_known")
@@ -323,9 +325,9 @@ def finalize(
         return out
     if cache is None:
         cache = questions.select("job_id", F.lit("").alias("content_hash"), "stem", "options").limit(0)
-    batches = cleanup_batches(questions, cache, mode, size)
+    batches = cut(cleanup_batches(questions, cache, mode, size))
     replies = reply_source("cleanup", requests(batches))
-    out["questions"] = polished(questions, batches, replies)
+    out["questions"] = cut(polished(questions, batches, replies))
     out["cache"] = updated_cache(cache, batches, replies)
     out["counters"] = counters(questions, batches, replies, mode)
     if mode == "exam":

@@ -638,7 +638,7 @@ def toggle_parity(spark, sf_dir):
 # --- enrichment -------------------------------------------------------------------------
 def _cleanup(spark, sf_dir, mode="fast"):
     rows = cut(plain_bank(spark, sf_dir))
-    batches = cut(enrichment.cleanup_batches(rows, cached_polish(rows), mode))
+    batches = cut(enrichment.cleanup_batches(rows, cut(cached_polish(rows)), mode))
     replies = reply_table(enrichment.requests(batches), "cleanup")
     return rows, batches, replies
 
@@ -695,7 +695,7 @@ def finalize_calls(spark, sf_dir):
     """Calls of an exam run: clean-up as routed, and one call per batch of the answer key."""
     bank_rows = cut(plain_bank(spark, sf_dir))
     sources = bank_rows.select("job_id", "q_idx", F.col("frame_idx").cast("string").alias("source_frame"))
-    out = enrichment.finalize(bank_rows, sources, "exam", cached_polish(bank_rows), lambda kind, asked: reply_table(asked, kind))
+    out = enrichment.finalize(bank_rows, sources, "exam", cut(cached_polish(bank_rows)), lambda kind, asked: reply_table(asked, kind))
     return out["counters"].select("job_id", "calls", "cache_hits", "skipped")
 
 
