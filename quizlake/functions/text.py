@@ -13,9 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # --- fixed values -----------------------------------------------------------------
-# White space as the UI language sees it, and as the text worker sees it.
-WEB_SPACE = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
-DOC_SPACE = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+# White space as the UI language sees it, and as the text worker sees it. A class of many ranges
+# is tried one range after another, so visible ASCII is turned away first.
+WEB_SPACE = r"[\P{Graph}&&[\s\x{A0}[\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]]]"
+DOC_SPACE = r"[\P{Graph}&&[\s\x{1C}-\x{1F}\x{85}\x{A0}[\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]]]"
+# The same as plain characters, for trimming without a pattern.
+_WIDE_SPACES = "\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+WEB_SPACES = " \t\n\x0b\f\r" + _WIDE_SPACES + "\ufeff"
+DOC_SPACES = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85" + _WIDE_SPACES
 WORD = r"[\p{L}\p{N}_]"
 # Question, option and enumeration markers.
 QUESTION_MARK = r"\?"
@@ -60,23 +65,19 @@ def _col(c: Column | str) -> Column:
 
 
 def trim_web(c: Column) -> Column:
-    return F.regexp_replace(_col(c), f"^{WEB_SPACE}+|{WEB_SPACE}+$", "")
+    return F.btrim(_col(c), F.lit(WEB_SPACES))
 
 
 def ltrim_doc(c: Column) -> Column:
-    return F.regexp_replace(_col(c), f"^{DOC_SPACE}+", "")
+    return F.ltrim(_col(c), F.lit(DOC_SPACES))
 
 
 def rtrim_doc(c: Column) -> Column:
-    """Right trim; the pattern only runs where the last character is white space."""
-    c = _col(c)
-    return F.when(
-        F.right(c, F.lit(1)).rlike(DOC_SPACE), F.regexp_replace(c, f"{DOC_SPACE}+$", "")
-    ).otherwise(c)
+    return F.rtrim(_col(c), F.lit(DOC_SPACES))
 
 
 def trim_doc(c: Column) -> Column:
-    return ltrim_doc(rtrim_doc(c))
+    return F.btrim(_col(c), F.lit(DOC_SPACES))
 
 
 def normalize_ocr(c: Column | str) -> Column:
@@ -107,7 +108,7 @@ def jaccard_tokens(c: Column | str) -> Column:
 
 def sorted_tokens(c: Column | str) -> Column:
     """Tokens of an already normalised text in code-point order, joined by one space."""
-    return F.array_join(F.array_sort(F.filter(F.split(_col(c), " "), lambda t: t != "")), " ")
+    return F.array_join(F.sort_array(F.filter(F.split(_col(c), " "), lambda t: t != "")), " ")
 
 
 def bound(value: Column, make: Callable[[Column], Column]) -> Column:

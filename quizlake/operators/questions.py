@@ -9,8 +9,8 @@ after an inline block). It is expressed with running counts per frame:
 * outside a block, or on a stem label, an inline-option line that yields two options
   consumes the rest of its paragraph. The first such line is all that matters.
 
-All windows partition by a prefix of (job, frame, ...), so one shuffle on (job, frame)
-serves every step; a frame is one input row, so no window is larger than one text.
+All windows partition by a prefix of (job, frame, ...), so one shuffle on (job, frame), of
+whole frames, serves every step; a frame is one input row, so no window is larger than one text.
 """
 
 from __future__ import annotations
@@ -174,9 +174,9 @@ def _grouped(segments: DataFrame) -> DataFrame:
         "confidence",
         "blob",
         "pairs",
-        F.when(~is_option, F.struct("line_no", "body")).alias("stem_line"),
+        F.when(~is_option, F.struct("line_no", tx.trim_doc(F.col("raw")).alias("body"))).alias("stem_line"),
         F.when(
-            is_option, F.struct("line_no", "letter", tx.option_text(F.col("body")).alias("text"))
+            is_option, F.struct("line_no", "letter", tx.option_text(tx.trim_doc(F.col("raw"))).alias("text"))
         ).alias("option_line"),
         F.explode(F.filter(roles, lambda r: r.isNotNull())).alias("role"),
     )
@@ -199,7 +199,10 @@ def drafts(frames: DataFrame, repair: bool = True, drop_ocr_errors: bool = False
         frames = frames.filter(~F.coalesce(F.col("ocr_text").startswith("[OCR error]"), F.lit(False)))
     if repair:
         frames = frames.withColumn("ocr_text", tx.repaired_text(F.coalesce("ocr_text", F.lit(""))))
-    groups = _grouped(segmented_lines(classified_lines(frames)))
+    # Frames are dealt before they become lines, which takes less room than dealing these; the
+    # trimmed line is made again from the raw one, so that no window carries both.
+    lines = classified_lines(frames.repartition(*FRAME)).drop("body")
+    groups = _grouped(segmented_lines(lines))
     block_stem = tx.trim_doc(F.array_join(F.transform("stem_lines", lambda x: x["body"]), "\n"))
     role = F.col("role")
     found = groups.select(
