@@ -407,10 +407,11 @@ _EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])
 
 
 def has_word_break(c: Column) -> Column:
-    """A word split by recognition: `quoru m` or `Trip ura`."""
+    """A word split by recognition: `quoru m` or `Trip ura`. Of a longer word its last four letters
+    tell as much, and are not tried again from each letter; an edge is only sought at a capital."""
     text = trim_web(c)
-    return text.rlike(rf"\p{{L}}{{4,}}{WEB_SPACE}+\p{{Ll}}{{1,2}}(?={WEB_SPACE}|[?.!,;:]|\z)") | text.rlike(
-        rf"{_EDGE}\p{{Lu}}\p{{Ll}}{{2,}}{WEB_SPACE}+\p{{Ll}}{{2,4}}{_EDGE}"
+    return text.rlike(rf"\p{{L}}{{4}}{WEB_SPACE}+\p{{Ll}}{{1,2}}(?={WEB_SPACE}|[?.!,;:]|\z)") | text.rlike(
+        rf"(?=\p{{Lu}}){_EDGE}\p{{Lu}}\p{{Ll}}{{2,}}{WEB_SPACE}+\p{{Ll}}{{2,4}}{_EDGE}"
     )
 
 

@@ -71,12 +71,14 @@ def classified_lines(frames: DataFrame) -> DataFrame:
         "name",
         frame_confidence(F.coalesce("ocr_confidence", F.lit(DEFAULT_CONFIDENCE))).alias("confidence"),
         F.transform(F.split(F.coalesce("ocr_text", F.lit("")), "\n", -1), tx.rtrim_doc).alias("lines"),
-    )
-    upper = F.upper(F.array_join("lines", "\n"))
-    marks = sum((upper.contains(m).cast("int") for m in BLOB_MARKS), F.lit(0))
-    blob = F.when(marks >= BLOB_MIN_MARKS, F.substring(F.array_join("lines", "\n"), 1, BLOB_STEM_CHARS))
+    ).withColumn("_text", F.array_join("lines", "\n"))
+    # No other character becomes one of these letters in upper case.
+    held = lambda m: (F.col("_text").contains(m) | F.col("_text").contains(m.lower())).cast("int")
+    marks = sum(map(held, BLOB_MARKS), F.lit(0))
+    blob = F.when(marks >= BLOB_MIN_MARKS, F.substring("_text", 1, BLOB_STEM_CHARS))
+    # A text has a line at least; a plain explode would filter on the lines, and so make them anew.
     lines = rows.withColumn("blob", blob).select(
-        *FRAME, "name", "confidence", "blob", F.posexplode("lines").alias("line_no", "raw")
+        *FRAME, "name", "confidence", "blob", F.posexplode_outer("lines").alias("line_no", "raw")
     )
     body = F.col("body")
     return lines.withColumn("body", tx.trim_doc(F.col("raw"))).select(
@@ -120,31 +122,49 @@ def _letter_map(pairs: Column, letters: tuple[str, ...]) -> Column:
 
 
 def segmented_lines(lines: DataFrame) -> DataFrame:
-    """Add paragraph, block, closed-before and the paragraph's first inline line."""
+    """Add paragraph, block, closed-before and, from there on, the paragraph's first inline line.
+
+    Paragraphs and blocks are runs of lines, so all of it follows from what the frame held up to
+    a line, and from where the run began: one order of the lines serves every window."""
     in_frame = Window.partitionBy(*FRAME).orderBy("line_no")
-    running = Window.unboundedPreceding, Window.currentRow
-    paragraph = Window.partitionBy(*FRAME, "paragraph")
-    in_paragraph = paragraph.orderBy("line_no")
-    block = Window.partitionBy(*FRAME, "paragraph", "block").orderBy("line_no")
+    so_far = in_frame.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = in_frame.rowsBetween(Window.unboundedPreceding, -1)
+
+    def last(where: Column, value: str, window=so_far) -> Column:
+        return F.max(F.when(where, F.col(value))).over(window)
+
+    def since(line: Column, start: str) -> Column:
+        """Whether there is such a line, and it is in the run that began at `start`."""
+        return F.coalesce(line >= F.coalesce(start, F.lit(0)), F.lit(False))
+
     chunk = F.array_join(
         F.array("raw", *[F.lead("raw", i).over(in_frame) for i in range(1, INLINE_SPAN)]), " "
     )
-    out = lines.withColumn("paragraph", F.sum(F.col("blank").cast("int")).over(in_frame.rowsBetween(*running)))
-    out = out.withColumn("chunk", F.when(F.col("inline_mark"), chunk))
-    out = out.withColumn(
-        "block", F.sum(F.col("stem_label").cast("int")).over(in_paragraph.rowsBetween(*running))
+    out = lines.select(
+        "*",
+        F.sum(F.col("blank").cast("int")).over(so_far).alias("paragraph"),
+        F.sum(F.col("stem_label").cast("int")).over(so_far).alias("_labels"),
+        last(F.col("blank"), "line_no").alias("_paragraph_at"),
+        last(F.col("blank") | F.col("stem_label"), "line_no").alias("_block_at"),
+        F.when(F.col("inline_mark"), chunk).alias("chunk"),
+        *[last(F.col("letter") == x, "line_no", before).alias(f"_last_{x}") for x in tx.OPTION_LETTERS],
     )
-    letters_before = F.size(
-        F.collect_set("letter").over(block.rowsBetween(Window.unboundedPreceding, -1))
+    letters_before = sum((since(F.col(f"_last_{x}"), "_block_at").cast("int") for x in tx.OPTION_LETTERS), F.lit(0))
+    out = out.select(
+        *lines.columns, "paragraph", "_paragraph_at", "chunk",
+        (F.col("_labels") - F.coalesce(last(F.col("blank"), "_labels"), F.lit(0))).alias("block"),
+        (letters_before >= BLOCK_FULL).alias("closed"),
+        F.when(F.col("inline_mark"), _inline_pairs(F.col("chunk"))).alias("pairs"),
     )
-    out = out.withColumn("closed", letters_before >= BLOCK_FULL)
-    out = out.withColumn("pairs", F.when(F.col("inline_mark"), _inline_pairs(F.col("chunk"))))
     top_level = F.col("stem_label") | (F.col("block") == 0) | F.col("closed")
     enough = F.size(F.array_distinct(F.transform("pairs", lambda p: p["letter"]))) >= MIN_OPTIONS
-    fires = ~F.col("blank") & top_level & F.coalesce(enough, F.lit(False))
-    return out.withColumn(
-        "inline_line", F.min(F.when(fires, F.col("line_no"))).over(paragraph)
-    )
+    out = out.withColumn("_fires", ~F.col("blank") & top_level & F.coalesce(enough, F.lit(False)))
+    again = since(last(F.col("_fires"), "line_no", before), "_paragraph_at")
+    out = out.withColumn("_first", F.col("_fires") & ~again)
+    found = last(F.col("_first"), "line_no")
+    return out.withColumn("inline_line", found).withColumn(
+        "inline_line", F.when(since(F.col("inline_line"), "_paragraph_at"), F.col("inline_line"))
+    ).drop("_paragraph_at", "_fires", "_first")
 
 
 # Group numbers of the two drafts that are not lettered blocks.
@@ -205,6 +225,9 @@ def drafts(frames: DataFrame, repair: bool = True, drop_ocr_errors: bool = False
     groups = _grouped(segmented_lines(lines))
     block_stem = tx.trim_doc(F.array_join(F.transform("stem_lines", lambda x: x["body"]), "\n"))
     role = F.col("role")
+    # A block that stays has options under two letters; told before its options are made.
+    lettered = F.size(F.array_distinct(F.transform("option_lines", lambda x: x["letter"]))) >= MIN_OPTIONS
+    groups = groups.filter((role < 0) | lettered)
     found = groups.select(
         *FRAME,
         "line_no",
@@ -221,7 +244,7 @@ def drafts(frames: DataFrame, repair: bool = True, drop_ocr_errors: bool = False
         .otherwise(F.col("confidence"))
         .alias("confidence"),
     ).filter(
-        (role < 0) | ((F.size("options") >= MIN_OPTIONS) & (F.length("stem") >= MIN_STEM))
+        (role < 0) | (F.length("stem") >= MIN_STEM)
     )
     real = F.count(F.when(role != _BLOB, F.lit(1))).over(Window.partitionBy(*FRAME))
     return (

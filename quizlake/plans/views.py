@@ -76,7 +76,8 @@ def _block_text(join) -> str:
 
 
 def _spark_join(lo: str, hi: str) -> str:
-    return f"array_join(slice(words, CAST({lo} AS INT), CAST(({hi}) - ({lo}) + 1 AS INT)), ' ')"
+    # By number: a slice copies all words of a text, for every part of every block.
+    return f"array_join(transform(sequence({lo}, {hi}), i -> words[CAST(i AS INT) - 1]), ' ')"
 
 
 def _duck_join(lo: str, hi: str) -> str:

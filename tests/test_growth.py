@@ -56,3 +56,27 @@ def test_drafts_deal_frames_not_lines(spark):
     text = plan(questions.drafts(catalog.v.frames(spark, SF), repair=False))
     above = text[: text.rindex("Generate posexplode")]
     assert "Exchange" not in above
+
+
+def test_lines_are_put_in_order_once(spark):
+    frames = spark.createDataFrame([("j", 1, "f", "1. a\nA) b", 50.0)], "job_id string, frame_idx bigint, name string, ocr_text string, ocr_confidence double")
+    lines = questions.classified_lines(frames.checkpoint().repartition("job_id", "frame_idx"))
+    # Neither does the explode filter on the lines, which would make them again.
+    assert "Filter" not in plan(lines)
+    assert plan(questions.segmented_lines(lines)).split("Initial Plan")[0].count("Sort [") == 1
+
+
+def test_words_of_a_text_are_not_copied_per_block(spark):
+    assert "slice(" not in plan(catalog.v.mcq_frames(spark, SF))
+
+
+def test_word_breaks_are_those_of_the_plain_patterns(spark):
+    texts = ["quoru m", "quorum is", "the quorum m", "abc d", "abcd  ef.", "abcd efg", "xTrip ura", "Trip ura", "Trip ura_", "_Trip ura", "Trip urage x",
+             "Trip ura", "cafés ét", "Straße n!", "École est", "x École est", "Ab cd", "word a", "wor da", "a Trip ur", "ab12cdef g", ""]
+    space = "[" + tx.WEB_SPACES + "]"
+    lower, upper = "[a-zß-öø-ÿ]", "[A-ZÀ-ÖØ-Þ]"
+    letter, edge = f"(?:{lower}|{upper})", r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+    one = re.compile(rf"{letter}{{4,}}{space}+{lower}{{1,2}}(?={space}|[?.!,;:]|\Z)")
+    two = re.compile(rf"{edge}{upper}{lower}{{2,}}{space}+{lower}{{2,4}}{edge}")
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.has_word_break(F.col("t")).alias("b"))
+    assert {r.t: r.b for r in df.collect()} == {t: bool(one.search(t) or two.search(t)) for t in texts}
