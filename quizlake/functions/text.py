@@ -383,7 +383,7 @@ def unwrap_fence(c: Column | str, language: str = "json") -> Column:
     """Body of the first code fence, or the whole trimmed reply."""
     c = _col(c)
     fenced = F.regexp_extract(c, rf"(?is)```(?:{language})?\s*(.*?)```", 1)
-    return trim_web(F.when(fenced != "", fenced).otherwise(c))
+    return trim_web(bound(fenced, lambda f: F.when(f != "", f).otherwise(c)))
 
 
 def options_text(options: Column | str) -> Column:

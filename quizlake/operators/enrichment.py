@@ -53,11 +53,13 @@ def cleanup_batches(questions: DataFrame, cache: DataFrame, mode: str, size: int
     its job after it, not yet for itself. So of all batches that hold a question, the first
     one calls for it (every copy in it); later copies are hits and take its answer, with
     `from_batch` naming that batch. A cache with a `job_id` is looked up per job, one without
-    serves all jobs. `call_pos` numbers the calls of a batch."""
+    serves all jobs. `call_pos` numbers the calls of a batch. A `content_hash` that the questions
+    bring along is taken as it is."""
     # Routing and hashes are heavy and their rows are read many times over, so both are stored.
-    need = cut(routed(questions, mode).filter("needs_cleanup").drop("needs_cleanup").withColumn(
-        "content_hash", tx.content_hash("stem", "options")
-    ))
+    need = routed(questions, mode).filter("needs_cleanup").drop("needs_cleanup")
+    if "content_hash" not in need.columns:
+        need = need.withColumn("content_hash", tx.content_hash("stem", "options"))
+    need = cut(need)
     cut_rows = in_batches(need, "q_idx", size)
     by = ["job_id", "content_hash"] if "job_id" in cache.columns else ["content_hash"]
     hits = cache.select(
@@ -105,16 +107,19 @@ def validated(batches: DataFrame, replies: DataFrame, objects: bool = False) ->
     """Reply rows of accepted batches: the reply must be a JSON array with one element per
     request row, for corrections (`objects`) of objects only. Columns: batch key, call_pos, element (text) and v (variant)."""
     sizes = batches.filter(F.col("call_pos").isNotNull()).groupBy(*BATCH).agg(F.count(F.lit(1)).alias("n"))
-    body = tx.unwrap_fence("reply", "json")
-    parsed = sizes.join(replies, BATCH).select(
-        *BATCH, "n", F.from_json(F.when(F.try_parse_json(body).isNotNull(), body), "array<string>").alias("elements")
-    )
-    good = parsed.filter(
-        F.col("elements").isNotNull()
-        & (F.size("elements") == F.col("n"))
-        & (F.lit(not objects) | F.forall("elements", lambda e: F.coalesce(e.startswith("{"), F.lit(False))))
-    )
-    return good.select(*BATCH, F.posexplode("elements").alias("call_pos", "element")).select(
+
+    def parsed(body: Column) -> Column:
+        return F.from_json(F.when(F.try_parse_json(body).isNotNull(), body), "array<string>")
+
+    def accepted(elements: Column) -> Column:
+        kinds = F.lit(not objects) | F.forall(elements, lambda e: F.coalesce(e.startswith("{"), F.lit(False)))
+        return F.when((F.size(elements) == F.col("n")) & kinds, elements)
+
+    # One value from the reply to its elements, and rows told apart after the explode: a filter on
+    # the elements would parse every reply again for each of its conditions.
+    elements = tx.bound(tx.bound(tx.unwrap_fence("reply", "json"), parsed), accepted)
+    rows = sizes.join(replies, BATCH).select(*BATCH, F.posexplode_outer(elements).alias("call_pos", "element"))
+    return rows.filter("call_pos IS NOT NULL").select(
         *BATCH, F.col("call_pos").cast("bigint").alias("call_pos"), "element", F.try_parse_json("element").alias("v")
     )
 
@@ -170,7 +175,7 @@ def polished(questions: DataFrame, batches: DataFrame, replies: DataFrame) -> Da
         questions.join(fixed.unionByName(hits).unionByName(later), ["job_id", "q_idx"], "left")
         .withColumn("stem", F.coalesce("_new_stem", "stem"))
         .withColumn("options", F.coalesce("_new_options", "options"))
-        .drop("_new_stem", "_new_options")
+        .drop("_new_stem", "_new_options", "content_hash")
     )
 
 
@@ -186,17 +191,16 @@ def updated_cache(cache: DataFrame, batches: DataFrame, replies: DataFrame, cach
 
 def counters(questions: DataFrame, batches: DataFrame, replies: DataFrame, mode: str) -> DataFrame:
     """Calls with an accepted reply, cache hits (also of answers of this run) and skipped
-    questions per job."""
+    questions per job: those that are in none of the batches routed by `mode`."""
     accepted = validated(batches, replies, objects=True).select(*BATCH).distinct().groupBy("job_id").agg(
         F.count(F.lit(1)).alias("calls")
     )
-    hits = batches.groupBy("job_id").agg(F.count_if("cache_hit").alias("cache_hits"))
-    skipped = routed(questions, mode).groupBy("job_id").agg(
-        F.count_if(~F.col("needs_cleanup")).alias("skipped")
-    )
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return skipped.join(hits, "job_id", "left").join(accepted, "job_id", "left").select(
-        "job_id", zero("calls"), zero("cache_hits"), "skipped"
+    # What needs work has been told once, for the batches; the patterns are not run again.
+    rows = questions.select("job_id", F.lit(1).alias("_n"), F.lit(False).alias("cache_hit"))
+    rows = rows.unionByName(batches.select("job_id", F.lit(-1).alias("_n"), "cache_hit"))
+    counted = rows.groupBy("job_id").agg(F.count_if("cache_hit").alias("cache_hits"), F.sum("_n").alias("skipped"))
+    return counted.join(accepted, "job_id", "left").select(
+        "job_id", F.coalesce("calls", F.lit(0)).alias("calls"), "cache_hits", "skipped"
     )
 
 

@@ -79,7 +79,7 @@ def cached_polish(bank_df: DataFrame) -> DataFrame:
     """A cache holding the questions whose stem has an even number of characters."""
     return (
         bank_df.filter(F.length("stem") % 2 == 0)
-        .select("job_id", tx.content_hash("stem", "options").alias("content_hash"))
+        .select("job_id", F.col("content_hash") if "content_hash" in bank_df.columns else tx.content_hash("stem", "options").alias("content_hash"))
         .distinct()
         .select("job_id", "content_hash", F.lit("cached").alias("stem"), F.create_map(F.lit("A"), F.lit("hit")).alias("options"))
     )
@@ -636,8 +636,13 @@ def toggle_parity(spark, sf_dir):
 
 
 # --- enrichment -------------------------------------------------------------------------
+def _hashed_bank(spark, sf_dir):
+    """The bank with the hashes that the cache and the batches look up, made once."""
+    return cut(plain_bank(spark, sf_dir).withColumn("content_hash", tx.content_hash("stem", "options")))
+
+
 def _cleanup(spark, sf_dir, mode="fast"):
-    rows = cut(plain_bank(spark, sf_dir))
+    rows = _hashed_bank(spark, sf_dir)
     batches = cut(enrichment.cleanup_batches(rows, cut(cached_polish(rows)), mode))
     replies = reply_table(enrichment.requests(batches), "cleanup")
     return rows, batches, replies
@@ -693,7 +698,7 @@ def polish_cache(spark, sf_dir):
 @query
 def finalize_calls(spark, sf_dir):
     """Calls of an exam run: clean-up as routed, and one call per batch of the answer key."""
-    bank_rows = cut(plain_bank(spark, sf_dir))
+    bank_rows = _hashed_bank(spark, sf_dir)
     sources = bank_rows.select("job_id", "q_idx", F.col("frame_idx").cast("string").alias("source_frame"))
     out = enrichment.finalize(bank_rows, sources, "exam", cut(cached_polish(bank_rows)), lambda kind, asked: reply_table(asked, kind))
     return out["counters"].select("job_id", "calls", "cache_hits", "skipped")

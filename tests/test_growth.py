@@ -70,6 +70,22 @@ def test_words_of_a_text_are_not_copied_per_block(spark):
     assert "slice(" not in plan(catalog.v.mcq_frames(spark, SF))
 
 
+def test_replies_are_parsed_once_and_questions_routed_once(spark):
+    rows = spark.createDataFrame([("j", i, f"q{i}", f"what is quoru m {i} about ?", {"A": "x"}, 0.1, f"h{i}") for i in range(1, 60)],
+                                 "job_id string, q_idx bigint, id string, stem string, options map<string,string>, confidence double, content_hash string")
+    batches = enrichment.cleanup_batches(rows, catalog.cached_polish(rows.limit(0)), "fast")
+    # A hash that is there is not made again.
+    assert {r.content_hash for r in batches.collect()} == {f"h{i}" for i in range(1, 60)}
+    replies = catalog.reply_table(enrichment.requests(batches), "cleanup")
+    parsed = plan(enrichment.validated(batches, replies.select("job_id", "batch_no", "reply").checkpoint(), objects=True))
+    assert parsed.count("from_json(") == 1
+    counted = enrichment.counters(rows, batches, replies.checkpoint(), "fast")
+    assert "RLIKE" not in plan(counted)
+    (row,) = counted.collect()
+    # Of the batches 0, 1 and 2 the last one has a reply of the wrong length.
+    assert (row.calls, row.cache_hits, row.skipped) == (2, 0, 0)
+
+
 def test_word_breaks_are_those_of_the_plain_patterns(spark):
     texts = ["quoru m", "quorum is", "the quorum m", "abc d", "abcd  ef.", "abcd efg", "xTrip ura", "Trip ura", "Trip ura_", "_Trip ura", "Trip urage x",
              "Trip ura", "cafés ét", "Straße n!", "École est", "x École est", "Ab cd", "word a", "wor da", "a Trip ur", "ab12cdef g", ""]
