@@ -96,3 +96,8 @@ def test_word_breaks_are_those_of_the_plain_patterns(spark):
     two = re.compile(rf"{edge}{upper}{lower}{{2,}}{space}+{lower}{{2,4}}{edge}")
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.has_word_break(F.col("t")).alias("b"))
     assert {r.t: r.b for r in df.collect()} == {t: bool(one.search(t) or two.search(t)) for t in texts}
+
+
+def test_frames_are_dealt_over_all_tasks(spark):
+    # Not merged by size: lines are heavy for their bytes.
+    assert "REPARTITION_BY_NUM" in plan(questions.drafts(catalog.v.mcq_frames(spark, SF), repair=False))
