@@ -174,6 +174,11 @@ def is_stem_label(c: Column) -> Column:
     return _col(c).rlike(STEM_LABEL)
 
 
+def upper_letter(c: Column) -> Column:
+    """Upper case of an option letter, without the tables of a whole script."""
+    return F.translate(c, "".join(OPTION_LETTERS).lower(), "".join(OPTION_LETTERS))
+
+
 def option_letter(c: Column) -> Column:
     """Upper-case letter of an option line, NULL for any other line."""
     c = _col(c)
@@ -181,7 +186,7 @@ def option_letter(c: Column) -> Column:
         F.nullif(F.regexp_extract(c, OPTION_PAREN, 1), F.lit("")),
         F.nullif(F.regexp_extract(c, OPTION_DOT, 1), F.lit("")),
     )
-    return F.upper(found)
+    return upper_letter(found)
 
 
 def option_text(c: Column) -> Column:
@@ -432,15 +437,26 @@ def structurally_clean(stem: Column, options: Column) -> Column:
     clean = (F.length(stem) >= 12) & ~stem.contains(REPLACEMENT_CHAR)
     for value in values:
         clean = clean & (trim_web(value) != "") & ~value.contains(REPLACEMENT_CHAR)
-    share = F.regexp_count(stem, F.lit(r"[\p{L}\p{N}]")) / F.greatest(F.length(stem), F.lit(1))
+    # What is left without the rest: runs of it are far fewer than letters.
+    share = F.length(F.regexp_replace(stem, r"[^\p{L}\p{N}]+", "")) / F.greatest(F.length(stem), F.lit(1))
     return clean & (share >= 0.45)
 
 
+def fit_to_skip(stem: Column, options: Column) -> Column:
+    """Whether clean-up may be left out, if the confidence will do; the same for every mode."""
+    return ~question_has_word_break(stem, options) & structurally_clean(stem, options)
+
+
+def needs_cleanup_of(fit: Column, confidence: Column, mode: str) -> Column:
+    """Whether a question goes to the enrichment model, from `fit_to_skip`."""
+    if mode == "notes":
+        return F.lit(False)
+    return ~(fit & (confidence >= SKIP_CONFIDENCE.get(mode, 0.87)))
+
+
 def needs_cleanup(stem: Column, options: Column, confidence: Column, mode: str) -> Column:
     """Whether a question goes to the enrichment model."""
     if mode == "notes":
         return F.lit(False)
-    threshold = SKIP_CONFIDENCE.get(mode, 0.87)
-    return question_has_word_break(stem, options) | ~(
-        (confidence >= threshold) & structurally_clean(stem, options)
-    )
+    # The confidence first: the patterns are not tried on what it sends there anyway.
+    return ~((confidence >= SKIP_CONFIDENCE.get(mode, 0.87)) & fit_to_skip(stem, options))

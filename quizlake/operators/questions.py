@@ -101,7 +101,7 @@ def _inline_pairs(chunk: Column) -> Column:
     """(letter, text) pairs of `(A) one (B) two`, blank texts dropped."""
     letters = F.transform(
         F.regexp_extract_all(chunk, F.lit(f"({tx.INLINE_OPTION})"), F.lit(1)),
-        lambda m: F.upper(F.regexp_extract(m, "([A-Da-d])", 1)),
+        lambda m: tx.upper_letter(F.regexp_extract(m, "([A-Da-d])", 1)),
     )
     values = F.slice(F.split(chunk, tx.INLINE_OPTION, -1), F.lit(2), F.size(letters))
     pairs = F.zip_with(

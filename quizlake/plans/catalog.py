@@ -278,8 +278,11 @@ def wordbreak_artifacts(spark, sf_dir):
 
 @query
 def route_questions(spark, sf_dir):
-    rows = plain_bank(spark, sf_dir)
-    need = lambda mode: tx.needs_cleanup(F.col("stem"), F.col("options"), F.col("confidence"), mode)
+    # Told once for all modes, and only where the lowest bar of confidence is met.
+    low = min(tx.SKIP_CONFIDENCE.values())
+    fit = F.when(F.coalesce(F.col("confidence") < low, F.lit(False)), False).otherwise(tx.fit_to_skip(F.col("stem"), F.col("options")))
+    rows = plain_bank(spark, sf_dir).withColumn("fit", fit)
+    need = lambda mode: tx.needs_cleanup_of(F.col("fit"), F.col("confidence"), mode)
     return rows.select(
         "job_id", "q_idx", need("fast").alias("fast"), need("exam").alias("exam"), need("notes").alias("notes")
     )

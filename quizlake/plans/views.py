@@ -76,8 +76,9 @@ def _block_text(join) -> str:
 
 
 def _spark_join(lo: str, hi: str) -> str:
-    # By number: a slice copies all words of a text, for every part of every block.
-    return f"array_join(transform(sequence({lo}, {hi}), i -> words[CAST(i AS INT) - 1]), ' ')"
+    # By number: a slice copies all words of a text, for every part of every block. What is done per
+    # word is not compiled, so the places are counted from zero once.
+    return f"array_join(transform(sequence(CAST({lo} AS INT) - 1, CAST({hi} AS INT) - 1), i -> words[i]), ' ')"
 
 
 def _duck_join(lo: str, hi: str) -> str:
@@ -96,17 +97,15 @@ def _bounds(expr: str, div: str) -> str:
 
 
 def mcq_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The words are split below the numbering, whose join keeps them from being inlined
-    # (and split again) in every slice of the block expression above it.
     docs = table(spark, sf_dir, "documents").selectExpr(
-        "source AS job_id",
-        "doc_id",
-        "CAST(40 + n_chars % 61 AS DOUBLE) AS conf",
-        "filter(split(replace(text, chr(10), ' '), ' '), w -> w <> '') AS words",
-    )
+        "source AS job_id", "doc_id", "CAST(40 + n_chars % 61 AS DOUBLE) AS conf", "text")
+    # Texts are numbered and dealt as they are, since words take far more room. They are split once: used
+    # more than once above, neither the words nor their number is inlined there.
+    docs = ordinal(docs, ["job_id"], [F.col("doc_id")], span("doc_id"), name="frame_idx")
+    docs = docs.selectExpr(
+        "job_id", "doc_id", "frame_idx", "conf", "array_remove(split(replace(text, chr(10), ' '), ' '), '') AS words")
     docs = docs.withColumn("n_words", F.size("words").cast("bigint"))
     docs = docs.withColumn("n_blocks", F.expr(f"greatest(1, n_words div {BLOCK_WORDS})"))
-    docs = ordinal(docs, ["job_id"], [F.col("doc_id")], span("doc_id"), name="frame_idx")
     block = _bounds(_block_text(_spark_join), "div")
     return docs.selectExpr(
         "job_id",

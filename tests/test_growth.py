@@ -101,3 +101,38 @@ def test_word_breaks_are_those_of_the_plain_patterns(spark):
 def test_frames_are_dealt_over_all_tasks(spark):
     # Not merged by size: lines are heavy for their bytes.
     assert "REPARTITION_BY_NUM" in plan(questions.drafts(catalog.v.mcq_frames(spark, SF), repair=False))
+
+
+def test_texts_are_numbered_before_they_become_words(spark):
+    text = plan(catalog.v.mcq_frames(spark, SF)).split("Initial Plan")[0]
+    # Split once, above the last exchange, and without a call per word.
+    assert text.count("split(") == 1 and "Exchange" not in text[: text.index("split(")]
+    assert "array_remove(" in text and "filter(" not in text
+
+
+def test_patterns_are_not_tried_where_confidence_is_low(spark):
+    rows = spark.createDataFrame(
+        [(s, {k: "some text" for k in "ABCD"} if full else {"A": "x"}, c)
+         for s in ("what is the quorum of the house", "what is quoru m of the house", "?? ?? ?? ?? ?? ab", "")
+         for full in (True, False) for c in (0.5, 0.88, 0.95, None)],
+        "stem string, options map<string,string>, confidence double")
+    stem, options, conf = F.col("stem"), F.col("options"), F.col("confidence")
+    for mode, bar in tx.SKIP_CONFIDENCE.items():
+        if mode == "notes":
+            continue
+        plain = tx.question_has_word_break(stem, options) | ~((conf >= bar) & tx.structurally_clean(stem, options))
+        got = tx.needs_cleanup(stem, options, conf, mode)
+        both = rows.select(plain.alias("p"), got.alias("g"), tx.needs_cleanup_of(tx.fit_to_skip(stem, options), conf, mode).alias("f"))
+        assert all(r.p == r.g == r.f for r in both.collect())
+        # The bar stands before the patterns.
+        text = plan(rows.select(got.alias("g")))
+        assert text.index("confidence") < text.index("RLIKE")
+
+
+def test_letters_of_a_stem_are_counted_by_runs(spark):
+    stems = ["what is the quorum of", "é中文Ⅷ٣ 12 ab?!", "........... ab", "𝔘𝔫𝔦𝔠𝔬𝔡𝔢 text!", "-- - -- -- -- a"]
+    df = spark.createDataFrame([(s, {k: "v" for k in "ABCD"}) for s in stems], "s string, o map<string,string>")
+    clean = tx.structurally_clean(F.col("s"), F.col("o"))
+    want = [len(s) >= 12 and sum(c.isalnum() for c in s) / len(s) >= 0.45 for s in stems]
+    assert [r.c for r in df.select(clean.alias("c")).collect()] == want
+    assert "regexp_count" not in plan(df.select(clean.alias("c")))
