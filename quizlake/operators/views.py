@@ -33,7 +33,10 @@ def _asks(text: Column) -> Column:
 
 def questions_view(frames: DataFrame) -> DataFrame:
     text = F.coalesce("ocr_text", F.lit(""))
-    return frames.filter((tx.trim_web(text) != "") & _asks(text))
+    asks = (tx.trim_web(text) != "") & _asks(text)
+    # Told by a generator of one row, which no filter passes: a plain filter goes below the columns that make the
+    # text, and makes it anew, words and all, wherever its condition names it.
+    return frames.select("*", F.explode_outer(F.array(asks)).alias("_asks")).filter("_asks").drop("_asks")
 
 
 def slides_view(frames: DataFrame) -> DataFrame:

@@ -136,3 +136,8 @@ def test_letters_of_a_stem_are_counted_by_runs(spark):
     want = [len(s) >= 12 and sum(c.isalnum() for c in s) / len(s) >= 0.45 for s in stems]
     assert [r.c for r in df.select(clean.alias("c")).collect()] == want
     assert "regexp_count" not in plan(df.select(clean.alias("c")))
+
+
+def test_questions_view_makes_words_once(spark):
+    """No filter goes below the words: it would split a text again for every word it looks up."""
+    assert plan(catalog.QUERIES["view_questions"](spark, SF)).count("split(replace(") == 1
