@@ -7,7 +7,7 @@ non-essential as long as all of them together, on top of the least score, stay b
 query's k-th best score so far: no candidate can enter the result by them alone. The postings
 of the essential terms are traversed for all candidates of the block; a candidate is probed for
 the other terms, largest bound first, only while its score so far plus the rest of the bounds
-can still reach the k-th best. Each shard returns its k best per query; these are merged.
+can still reach the k-th best. Each run of shards returns its k best per query; these are merged.
 """
 
 from __future__ import annotations
@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quizlake.llm.common import stored
-from quizlake.llm.vectors import blocks, finite, padded
+from quizlake.llm.common import scratch, stored
+from quizlake.llm.vectors import filed, finite, read_block, widened
 
 SHARD_ROWS, QUERY_ROWS, STEP_ROWS = 8192, 512, 1024
+#: Shards that a task meets one after another, at most.
+RUN_SHARDS = 32
 #: Terms are non-essential while their bounds stay below this share of the way from the least
 #: score to the k-th best. 1 would be the most terms allowed; with dense vectors a traversal of
 #: few more postings is far cheaper than a probe of very many candidates.
@@ -138,6 +140,7 @@ def top_k(
     No candidate is skipped; a score that does not fit a long raises. An empty table, or one
     without queries, gives no rows. Other columns play no part.
     """
+    spark = vectors.sparkSession
     rows = (
         vectors.filter(F.col(key).isNotNull() & finite(vector))
         .select(F.col(key).cast("bigint").alias("key"), is_query.alias("_q"), scaled(vector, scale).alias("values"))
@@ -146,42 +149,36 @@ def top_k(
         .withColumn("count", F.lit(1).cast("bigint"))
     )
     rows = stored(rows, "search-vectors")
-    shards = stored(blocks(rows, SHARD_ROWS), "search-shards")
-    asked = stored(blocks(rows.filter("_q"), QUERY_ROWS), "search-queries")
-
-    # Every query block meets every shard: both numbers are N / block size, and each pair is a
-    # row of its own, so that no task holds more than a query block and a shard at a time.
-    number = {"shard": [r[0] for r in shards.select("block").collect()],
-              "query": [r[0] for r in asked.select("block").collect()]}
-    pair = ["shard", "query"]
-    left = shards.withColumnRenamed("block", "shard").withColumn("query", F.explode(_longs(number["query"])))
-    right = asked.select(F.col("block").alias("query"), *[F.col(c).alias(f"q_{c}") for c in ("n", "width", "keys", "values")])
-    right = right.withColumn("shard", F.explode(_longs(number["shard"])))
+    shards = filed(rows, SHARD_ROWS, scratch(spark, "search-shards"))
+    asked = filed(rows.filter("_q"), QUERY_ROWS, scratch(spark, "search-queries"))
+
+    # Every query block meets every shard, but none travels with the pairs: a task has a query block and a run of
+    # shards, reads these one after another, and gives the k best of all of them.
+    enough = -(-2 * spark.sparkContext.defaultParallelism // max(1, len(asked)))
+    runs = max(-(-len(shards) // RUN_SHARDS), min(len(shards), enough))
+    tasks = len(asked) * runs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                width = max(r["width"], r["q_width"])
-                values = padded(r["values"], r["n"], r["width"], width)
-                queries = padded(r["q_values"], r["q_n"], r["q_width"], width)
-                keys, asked_keys = np.frombuffer(r["keys"], np.int64), np.frombuffer(r["q_keys"], np.int64)
+            for i in batch.column(0).to_pylist():
+                asked_keys, queries = read_block(*asked[i // runs])
                 best = Best(len(queries), k)
-                search(queries, asked_keys, values, keys, best)
+                for shard in shards[i % runs :: runs]:
+                    keys, values = read_block(*shard)
+                    width = max(queries.shape[1], values.shape[1])
+                    search(widened(queries, width), asked_keys, widened(values, width), keys, best)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(asked_keys[best.q]), pa.array(np.full(len(best.q), r["shard"])), pa.array(best.key),
+                    [pa.array(asked_keys[best.q]), pa.array(np.full(len(best.q), i % runs)), pa.array(best.key),
                      pa.array(best.score)],
-                    names=["query_id", "shard", key, "score"],
+                    names=["query_id", "run", key, "score"],
                 )
 
-    found = left.join(right, pair).mapInArrow(run, f"query_id bigint, shard bigint, `{key}` bigint, score bigint")
+    found = spark.range(0, tasks, 1, max(1, tasks)).mapInArrow(run, f"query_id bigint, run bigint, `{key}` bigint, score bigint")
     order = [F.desc("score"), F.col(key)]
-    # Merge in two steps, so that a query's rows from very many shards do not meet at once.
-    some = Window.partitionBy("query_id", F.pmod(F.xxhash64("shard"), F.lit(64))).orderBy(*order)
+    # Merge in two steps, so that a query's rows from very many runs do not meet at once.
+    some = Window.partitionBy("query_id", F.pmod(F.xxhash64("run"), F.lit(64))).orderBy(*order)
     found = found.withColumn("rank", F.row_number().over(some)).filter(F.col("rank") <= k)
     whole = Window.partitionBy("query_id").orderBy(*order)
     found = found.withColumn("rank", F.row_number().over(whole)).filter(F.col("rank") <= k)
     return found.select("query_id", "rank", key, "score")
 
-
-def _longs(values: list[int]) -> Column:
-    return F.array(*[F.lit(v).cast("bigint") for v in values]) if values else F.expr("cast(array() as array<bigint>)")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quizlake.llm.common import get_file, put_file
+
 BLOCK = "block bigint, n bigint, width bigint, keys binary, counts binary, values binary"
 
 
@@ -76,5 +79,29 @@ def blocks(vectors: DataFrame, rows: int) -> DataFrame:
 
 
 def padded(values: bytes, n: int, width: int, to: int) -> np.ndarray:
-    x = np.frombuffer(values, np.float64).reshape(n, width)
-    return x if width == to else np.pad(x, ((0, 0), (0, to - width)))
+    return widened(np.frombuffer(values, np.float64).reshape(n, width), to)
+
+
+def filed(vectors: DataFrame, rows: int, folder: str) -> list[tuple[str, int, int]]:
+    """`blocks` as files on the shared store, for tasks that read many of them one by one: path, rows and width
+    of each. A task that repeats writes files of other names, so those given here belong together."""
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                path = f"{folder}/{uuid.uuid4().hex}"
+                put_file(path, pa.compress(r["keys"] + r["values"], codec="zstd", asbytes=True))
+                yield pa.RecordBatch.from_pydict({"path": [path], "n": [r["n"]], "width": [r["width"]]})
+
+    made = blocks(vectors, rows).mapInArrow(put, "path string, n bigint, width bigint").collect()
+    return sorted((r.path, r.n, r.width) for r in made)
+
+
+def read_block(path: str, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values of a block that `filed` has written."""
+    data = pa.decompress(get_file(path), n * 8 * (1 + width), codec="zstd", asbytes=True)
+    return np.frombuffer(data, np.int64, n), np.frombuffer(data, np.float64, n * width, n * 8).reshape(n, width)
+
+
+def widened(values: np.ndarray, to: int) -> np.ndarray:
+    return values if values.shape[1] == to else np.pad(values, ((0, 0), (0, to - values.shape[1])))

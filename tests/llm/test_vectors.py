@@ -37,6 +37,23 @@ def test_search_equals_brute_force(spark, monkeypatch):
     assert maxscore.top_k(df.limit(0), F.col("vec_id") % 20 == 0, 5).count() == 0
 
 
+def test_search_moves_no_vectors_with_pairs(spark, monkeypatch):
+    """A task reads its blocks by itself; the pairs of blocks carry none of them."""
+    monkeypatch.setattr(maxscore, "SHARD_ROWS", 16)
+    monkeypatch.setattr(maxscore, "QUERY_ROWS", 4)
+    monkeypatch.setattr(maxscore, "RUN_SHARDS", 3)
+    rows, df = table(spark, 2)
+    found = maxscore.top_k(df, F.col("vec_id") % 20 == 0, 7)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    real = [(r[0], np.floor(64 * np.pad(np.array(r[1], float), (0, 16 - len(r[1]))))) for r in rows if whole(r)]
+    want = {}
+    for q, v in real:
+        if q % 20 == 0:
+            best = sorted((-int(v @ w), d) for d, w in real if d != q)[:7]
+            want |= {(q, i + 1): (d, -s) for i, (s, d) in enumerate(best)}
+    assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in found.collect()} == want
+
+
 def test_search_of_large_components(spark):
     rows = [(i, [float((i * 37) % 101) * 4096, float(i) * 1000.0]) for i in range(60)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
