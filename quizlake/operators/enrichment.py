@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quizlake.functions import text as tx
 from quizlake.operators.tables import in_batches, upsert
 from quizlake.operators.views import with_topic
-from quizlake.session import cut
+from quizlake.session import cut, kept
 
 # --- fixed values -----------------------------------------------------------------
 BATCH_DEFAULT, BATCH_MIN, BATCH_MAX = 25, 5, 40
@@ -55,11 +55,12 @@ def cleanup_batches(questions: DataFrame, cache: DataFrame, mode: str, size: int
     `from_batch` naming that batch. A cache with a `job_id` is looked up per job, one without
     serves all jobs. `call_pos` numbers the calls of a batch. A `content_hash` that the questions
     bring along is taken as it is."""
-    # Routing and hashes are heavy and their rows are read many times over, so both are stored.
-    need = routed(questions, mode).filter("needs_cleanup").drop("needs_cleanup")
+    # Routing and hashes are heavy and their rows are read many times over, so both are stored; all is told on
+    # numbers and hashes, and the questions come in at the end.
+    need = routed(questions, mode).filter("needs_cleanup")
     if "content_hash" not in need.columns:
         need = need.withColumn("content_hash", tx.content_hash("stem", "options"))
-    need = cut(need)
+    need = cut(need.select("job_id", "q_idx", "content_hash"))
     cut_rows = in_batches(need, "q_idx", size)
     by = ["job_id", "content_hash"] if "job_id" in cache.columns else ["content_hash"]
     hits = cache.select(
@@ -72,7 +73,8 @@ def cleanup_batches(questions: DataFrame, cache: DataFrame, mode: str, size: int
         "cache_hit", F.col("_known").isNotNull() | later
     )
     calls = F.row_number().over(Window.partitionBy(*BATCH, "cache_hit").orderBy("pos")) - 1
-    return joined.drop("_known", "_first").withColumn("call_pos", F.when(~F.col("cache_hit"), calls))
+    joined = joined.drop("_known", "_first").withColumn("call_pos", F.when(~F.col("cache_hit"), calls))
+    return questions.drop("content_hash").join(joined, ["job_id", "q_idx"])
 
 
 def all_batches(questions: DataFrame, size: int = BATCH_DEFAULT) -> DataFrame:
@@ -307,7 +309,7 @@ def finalize(
     `exam` adds the answer key, `notes` adds sections and skips clean-up. Without a
     `reply_source(kind, requests)` the questions pass through as they are. `counters` holds the
     calls of a job; those for notes and for an answer key count one per batch, whatever became
-    of them."""
+    of them. Outputs are made as they are read: store `questions` to read them more than once."""
     from quizlake.operators.questions import numbered
     from quizlake.operators.similarity import collapse_questions
 
@@ -329,15 +331,16 @@ def finalize(
         return out
     if cache is None:
         cache = questions.select("job_id", F.lit("").alias("content_hash"), "stem", "options").limit(0)
-    batches = cut(cleanup_batches(questions, cache, mode, size))
+    batches = kept(cleanup_batches(questions, cache, mode, size), "batches")
     replies = reply_source("cleanup", requests(batches))
-    out["questions"] = cut(polished(questions, batches, replies))
+    out["questions"] = polished(questions, batches, replies)
     out["cache"] = updated_cache(cache, batches, replies)
     out["counters"] = counters(questions, batches, replies, mode)
     if mode == "exam":
         keyed = all_batches(out["questions"], size)
         out["answer_key"] = answer_key(keyed, reply_source("answer_key", requests(keyed)))
-        more = batch_calls(keyed).withColumnRenamed("calls", "_more")
+        # Clean-up leaves the numbers of questions as they are, so calls are counted without it.
+        more = batch_calls(all_batches(questions.select("job_id", "q_idx"), size)).withColumnRenamed("calls", "_more")
         out["counters"] = out["counters"].join(more, "job_id", "left").withColumn(
             "calls", F.col("calls") + F.coalesce("_more", F.lit(0))).drop("_more")
     return out

@@ -28,7 +28,7 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
 def plain_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered drafts without repair and dedupe. Numbering reads its input twice, so the
     drafts are stored first."""
-    return questions.numbered(cut(questions.drafts(v.mcq_frames(spark, sf_dir), repair=False)))
+    return questions.numbered(kept(questions.drafts(v.mcq_frames(spark, sf_dir), repair=False), "drafts"))
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -641,12 +641,12 @@ def toggle_parity(spark, sf_dir):
 # --- enrichment -------------------------------------------------------------------------
 def _hashed_bank(spark, sf_dir):
     """The bank with the hashes that the cache and the batches look up, made once."""
-    return cut(plain_bank(spark, sf_dir).withColumn("content_hash", tx.content_hash("stem", "options")))
+    return kept(plain_bank(spark, sf_dir).withColumn("content_hash", tx.content_hash("stem", "options")), "bank")
 
 
 def _cleanup(spark, sf_dir, mode="fast"):
     rows = _hashed_bank(spark, sf_dir)
-    batches = cut(enrichment.cleanup_batches(rows, cut(cached_polish(rows)), mode))
+    batches = kept(enrichment.cleanup_batches(rows, cut(cached_polish(rows)), mode), "batches")
     replies = reply_table(enrichment.requests(batches), "cleanup")
     return rows, batches, replies
 

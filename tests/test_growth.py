@@ -141,3 +141,15 @@ def test_letters_of_a_stem_are_counted_by_runs(spark):
 def test_questions_view_makes_words_once(spark):
     """No filter goes below the words: it would split a text again for every word it looks up."""
     assert plan(catalog.QUERIES["view_questions"](spark, SF)).count("split(replace(") == 1
+
+
+def test_batches_are_cut_on_numbers(spark, monkeypatch):
+    """Neither stems nor options are moved to number questions or to look them up."""
+    seen, cut_up = [], enrichment.in_batches
+    monkeypatch.setattr(enrichment, "in_batches", lambda df, *a: seen.append(set(df.columns)) or cut_up(df, *a))
+    rows = spark.createDataFrame([("j", i, f"q{i}", f"what is quoru m {i % 7} about ?", {"A": "x"}, 0.1) for i in range(1, 60)],
+                                 "job_id string, q_idx bigint, id string, stem string, options map<string,string>, confidence double")
+    batches = enrichment.cleanup_batches(rows, catalog.cached_polish(rows.limit(0)), "fast")
+    assert seen == [{"job_id", "q_idx", "content_hash"}]
+    assert sorted((r.q_idx, r.batch_no, r.stem) for r in batches.collect()) == [
+        (i, (i - 1) // 25, f"what is quoru m {i % 7} about ?") for i in range(1, 60)]
